@@ -46,3 +46,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, seed=42, most=3)
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=8, least=2)
+
+
+ORACLES["op4_decontaminate"] = """
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+b as (
+  select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark where item_id is not null),
+g as (
+  select distinct item_id, list_slice(w, k, k + 7) as g from (select item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) as k from b where len(w) > 0)),
+sizes as (select distinct len(g) as n from g),
+p as (
+  select r, k, n, list_slice(w, k, k + n - 1) as g from (select r, w, n, unnest(range(1, len(w) - n + 2)) as k from d, sizes where len(w) >= n)),
+h as (select p.r, p.k, p.n, g.item_id from p join g using (g)),
+nh as (select r, count(distinct x) as n_hit from (select r, unnest(range(k, k + n)) as x from h) group by r),
+ni as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct r, item_id from h) group by r)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from d left join nh using (r) left join ni using (r)
+"""
