@@ -72,3 +72,13 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
 from d left join nh using (r) left join ni using (r)
 """
+
+
+@query
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import suffix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
+    return suffix.dedup(docs, length=50).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -3,11 +3,13 @@
 A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits, each a word of the
 perfect binary Golay code of length 23 (upper bits zero).  Every 23-bit word lies within
 three errors of exactly one codeword, found by a syndrome table; the 12 data bits of that
-codeword are its index.  Of at most three errors over three segments, dropping the segment
-with the most leaves at most one in each of the other two.  So one side of a comparison
-files a fingerprint under the indices of a segment pair, and the other side looks under the
-indices of all words within one error of each segment (about five each): any two linked
-fingerprints meet under one of the three pairs.  Distances are then verified.
+codeword are its index.  One side of a comparison files a word under its own index, and the
+other looks under the indices of all words within one error (about five), so that words one
+error apart meet.  Of at most three errors over three segments, either a segment has none,
+and then another has at most one: the key is the first as it stands and the index of the
+second.  Or each has one: the key is the indices of the first two and one half of the third,
+of which one half has no error.  Any two linked fingerprints meet under one of these eight
+keys of 33 bits or more.  Distances are then verified.
 
 Equal fingerprints are one node from the start, so that copies never meet as pairs.  Within
 a key, members are compared in blocks with a union-find, and only the edges of a spanning
@@ -35,7 +37,9 @@ from . import common
 #: Fixed value: a generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: (segment without error, segment with one at most)
+PAIRS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
+HALF = 11
 BLOCK = 2048
 
 
@@ -98,7 +102,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
-    """(key, probe, node, fp): one filed row and the probing rows of each fingerprint, for each segment pair."""
+    """(key, probe, node, fp): one filed row and the probing rows of each fingerprint, for each of the eight kinds of key."""
 
     def run(batches):
         for whole in batches:
@@ -108,18 +112,23 @@ def keyed(nodes: DataFrame) -> DataFrame:
                 seg = [segment(fp.view(np.uint64), k) for k in range(3)]
                 filed = [golay_index()[s].astype(np.int64) for s in seg]
                 near = [near_indices(s).astype(np.int64) for s in seg]
-                for p, (i, j) in enumerate(PAIRS):
-                    keys = (p << 24) | (near[i][:, :, None] << 12) | near[j][:, None, :]
-                    keys = np.sort(keys.reshape(len(fp), -1), axis=1)
+                whole_ = [x.astype(np.int64) for x in seg]
+                kinds = [((whole_[i] << 12), filed[j], near[j]) for i, j in PAIRS]
+                both = near[0][:, :, None] << 12 | near[1][:, None, :]
+                for half in (whole_[2] & (1 << HALF) - 1, whole_[2] >> HALF):
+                    kinds.append((half << 24, filed[0] << 12 | filed[1], both.reshape(len(fp), -1)))
+                for kind, (exact, own, around) in enumerate(kinds):
+                    exact = exact | kind << 40
+                    keys = np.sort(around, axis=1)
                     fresh = np.ones(keys.shape, bool)
                     fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
                     row, _ = np.nonzero(fresh)
-                    key = np.concatenate([(p << 24) | filed[i] << 12 | filed[j], keys[fresh]])
+                    key = np.concatenate([exact | own, exact[row] | keys[fresh]])
                     row = np.concatenate([np.arange(len(fp)), row])
                     probe = np.arange(len(key)) >= len(fp)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(probe), pa.array(node[row]), pa.array(fp[row])], ["key", "probe", "node", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(probe), pa.array(node[row]), pa.array(fp[row])], ["key", "probe", "node", "fp"])
 
-    return nodes.mapInArrow(run, "key int, probe boolean, node long, fp long")
+    return nodes.mapInArrow(run, "key long, probe boolean, node long, fp long")
 
 
 def linked(filed_fp: np.ndarray, filed: np.ndarray, probe_fp: np.ndarray, probe: np.ndarray, most: int) -> set[tuple[int, int]]:
@@ -219,9 +228,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, most: int =
     # A node is named by its smallest doc_id, so that the smallest node of a component is the answer;
     # without any doc_id (null alone) it takes no part under a name and stands for itself.
     nodes = common.written(nodes, "simhash-nodes")
-    shared = nodes.where("least is not null").groupBy("least").agg(F.min("fp").alias("first"), F.count("*").alias("n"))
     named = nodes.where("least is not null").select(F.col("least").alias("node"), "fp")
-    found = components(links(named, most).union(shared.where("n > 1").select(F.col("least").alias("a"), F.col("least").alias("b"))))
+    found = components(links(named, most))
     comp = nodes.join(found, nodes["least"] == found["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     return prints.join(comp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
