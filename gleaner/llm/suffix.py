@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -195,6 +196,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
     total = common.text_bytes(docs, text)
     chunks = common.blocks_for(total, CHUNK_BYTES, common.partitions(spark))
     buckets = common.blocks_for(total, 16 << 20, common.partitions(spark))
+    columns = list(docs.columns)
     dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).cast("int"))
 
     def bucketed(m: np.ndarray) -> np.ndarray:
@@ -321,8 +323,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
 
     def remove(key, t, answers):
         """answers also holds the chunk's shared hashes, in rows whose numbers are null."""
-        mark = pa.compute.is_valid(answers.column("numbers"))
-        found, answers = answers.filter(pa.compute.invert(mark)), answers.filter(mark)
+        mark = pc.is_valid(answers.column("numbers"))
+        found, answers = answers.filter(pc.invert(mark)), answers.filter(mark)
         data, offsets, owner, first, last, _, number, names = wanted(t, found)
         ids = _ids(t.column(doc_id))
         gone = np.zeros(len(data) + 1, np.int32)
@@ -353,8 +355,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
             for c, v in zip(rows, (b - a, b - a - len(kept), len(spans), spans, kept)):
                 c.append(v)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary()]
-        return pa.table([*t.drop_columns(["_chunk"]).columns, *(pa.array(c, x) for c, x in zip(rows, types))], [*docs.columns, *added])
+        return pa.table([*t.drop_columns(["_chunk"]).columns, *(pa.array(c, x) for c, x in zip(rows, types))], [*columns, *added])
 
+    del spark
     first = dealt.groupBy("_chunk").applyInArrow(hashes, "bucket int, chunk int, single binary, several binary")
     both = first.groupBy("bucket").applyInArrow(shared, "chunk int, hashes binary")
     cut = dealt.groupBy("_chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut_out, "bucket int, chunk int, numbers binary, docs binary, hashes binary, sizes binary, texts binary")
