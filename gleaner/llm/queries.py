@@ -82,3 +82,77 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
     return suffix.dedup(docs, length=50).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import chat
+
+    said = "\\### Assistant: </turn> ok"
+    own = spark.sql("select -7L as conv_id, posexplode(array('user', 'assistant')) as (turn, role)").withColumn("text", F.lit(said))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    back = chat.read_back(chat.formatted(chat.linear(turns)))
+    joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(joined, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLES["op5_chat"] = """
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, t, r, '\\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(t, r)),
+e as (
+  select *, replace(replace(replace(text, '\\', '\\b'), '###', '\\h'), '</turn>', '\\t') as x,
+    replace(replace(replace(replace(replace(role, '\\', '\\b'), '###', '\\h'), '</turn>', '\\t'), ':', '\\c'), chr(10), '\\n') as y from c)
+select conv_id::bigint as conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(4 + length(y) + 2 + length(x) + 8)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
+@query
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import sharding
+
+    done = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 24)
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+ORACLES["op8_shards"] = """
+with recursive t as (
+  select range as i, xor(range >> 8, 0) as z from range(256)),
+bits as (
+  select i, i::bigint as c, 0 as k from t
+  union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+tab as (select list(c order by i) as tab from bits where k = 8),
+d as (
+  select doc_id, coalesce(text, '') as text, strlen(coalesce(text, ''))::bigint + 8 as size,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 3))::int as virtual_slot from documents),
+crc as (
+  select doc_id, size, virtual_slot, xor(list_reduce(list_prepend(4294967295::bigint,
+    list_transform(range(0, strlen(text)), lambda j: ('0x' || substr(hex(text), 2 * j + 1, 2))::bigint)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) as text_crc32 from d, tab),
+slots as (select virtual_slot, sum(size)::bigint as b, row_number() over (order by sum(size) desc, virtual_slot) as r from d group by 1),
+deal as (
+  select 0::bigint as r, list_transform(range(24), lambda x: 0::bigint) as loads, null::int as shard
+  union all
+  select s.r, list_transform(loads, lambda x, i: case when i = list_position(loads, list_min(loads)) then x + s.b else x end), (list_position(loads, list_min(loads)) - 1)::int
+  from deal join slots s on s.r = deal.r + 1),
+m as (select virtual_slot, shard from slots join deal using (r))
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by virtual_slot, doc_id nulls first, text_crc32, size) - 1 as slot,
+  null::int as grown_shard, virtual_slot from crc join m using (virtual_slot)
+"""
