@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ MASK_DELTA = 0xA282EAD8
 INDEX = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u8")])
 #: Words kept with their ids in each Python worker, and the longest word that is kept.
 KEPT_WORDS, KEPT_CHARS = 400_000, 48
+#: Runs of a word; below this character there are no marks that compose with a letter before them.
+RUNS, PLAIN_BELOW = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), "\u0100"
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -93,20 +96,30 @@ def tokenizer(path: str):
 
 
 def encoded(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian ids of each text.  This tokenizer drops white space and joins nothing
-    across it, so that words between blanks are given to the library one by one, and words
-    met before are looked up."""
+    """Little-endian ids of each text.  This tokenizer lowers case, drops white space and joins
+    nothing across it or between letters and other signs; so blanks part a text into words, words
+    met before are looked up, new ones are parted into runs of letters, digits and signs, and the
+    library encodes the runs not met before."""
     t, kept, width = tokenizer(path)
-    words = [(x or "").replace("\n", " ").split(" ") for x in texts]
+    dtype = f"<u{width}"
+    lowered = [x if not x or "<|" in x else x.encode().lower().decode() for x in texts]  # of bytes: A-Z alone; "<|" may begin a special token
+    words = [(x or "").replace("\n", " ").split(" ") for x in lowered]
     new = list({w for ws in words for w in ws} - kept.keys())
-    dtype, rare = f"<u{width}", {}
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)):
-            (kept if len(w) <= KEPT_CHARS and len(kept) < KEPT_WORDS else rare)[w] = np.array(e.ids, dtype).tobytes()
-    if rare:
-        return [b"".join([kept[w] if w in kept else rare[w] for w in ws]) for ws in words]
-    return [b"".join(map(kept.__getitem__, ws)) for ws in words]
+    parted = [RUNS.findall(w) if w and max(w) < PLAIN_BELOW and "'" not in w and "<" not in w else [w] for w in new]
+    runs = list({r for rs in parted for r in rs} - kept.keys())
+    fresh: dict[str, bytes] = {}
+    for at in range(0, len(runs), 20_000):
+        part = runs[at : at + 20_000]
+        fresh.update((r, np.array(e.ids, dtype).tobytes()) for r, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)))
+    kept.update(fresh)
+    for w, rs in zip(new, parted):
+        kept[w] = b"".join([kept[r] for r in rs])
+    out = [b"".join(map(kept.__getitem__, ws)) for ws in words]
+    room = max(0, KEPT_WORDS - (len(kept) - len(fresh.keys() | set(new))))
+    for at, w in enumerate(dict.fromkeys([*fresh, *new])):  # runs first: they are met more often
+        if at >= room or len(w) > KEPT_CHARS:
+            del kept[w]
+    return out
 
 
 def white_space_free(path: str) -> bool:
