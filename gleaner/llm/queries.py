@@ -156,3 +156,10 @@ m as (select virtual_slot, shard from slots join deal using (r))
 select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by virtual_slot, doc_id nulls first, text_crc32, size) - 1 as slot,
   null::int as grown_shard, virtual_slot from crc join m using (virtual_slot)
 """
+
+
+@query
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neighbours
+
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
