@@ -109,7 +109,7 @@ class ByteBPE:
         except KeyError:
             pass
         rare = {}
-        for w in set(words) - kept.keys():
+        for w in [w for w in set(words) if w not in kept]:
             (kept if len(w) <= KEPT_CHARS and len(kept) < KEPT_WORDS else rare)[w] = np.array(self.merge(w.encode("utf-8", "replace")), "<u4").tobytes()
         return b"".join([kept[w] if w in kept else rare[w] for w in words])
 

@@ -104,9 +104,9 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
     dtype = f"<u{width}"
     lowered = [x if not x or "<|" in x else x.encode().lower().decode() for x in texts]  # of bytes: A-Z alone; "<|" may begin a special token
     words = [(x or "").replace("\n", " ").split(" ") for x in lowered]
-    new = list({w for ws in words for w in ws} - kept.keys())
+    new = [w for w in {w for ws in words for w in ws} if w not in kept]
     parted = [RUNS.findall(w) if w and max(w) < PLAIN_BELOW and "'" not in w and "<" not in w else [w] for w in new]
-    runs = list({r for rs in parted for r in rs} - kept.keys())
+    runs = [r for r in {r for rs in parted for r in rs} if r not in kept]
     fresh: dict[str, bytes] = {}
     for at in range(0, len(runs), 20_000):
         part = runs[at : at + 20_000]
