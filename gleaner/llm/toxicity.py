@@ -1,12 +1,13 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character
 and word inputs, trained in numpy, scoring all overlapping windows.
 
-A word's input is a hashed word vector and the mean of hashed vectors of its letter triples.
+A word's input is a hashed word vector, the mean of hashed vectors of its letter triples, and
+the mean of hashed vectors of its beginnings (of 3 to 8 bytes).
 Windows of WINDOW words begin every STRIDE words, so that every word lies in two windows (in
 one at a text's ends).  A window passes a gated recurrent unit in both directions; attention
 pools the states and a logistic unit gives its margin.  A document's margin is that of its
 worst window, so training follows the worst window too (for clean documents a random one
-besides).  A logistic calibration on documents set aside turns margins into scores.
+besides).  The margin that best parts documents set aside (by F1) becomes the score 0.5.
 
 Fitted on at most SAMPLE labelled documents, of each at most TRAIN_WINDOWS windows (spread
 over the text); every document is scored whole.
@@ -18,6 +19,8 @@ repeated rows get the same score; other columns are passed through.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,19 +29,34 @@ from pyspark.sql import types as T
 
 from . import common, labelled
 
-WORDS, TRIPLES, WIDTH, HIDDEN = 1 << 14, 1 << 12, 8, 8
-WINDOW, STRIDE, SAMPLE, TRAIN_WINDOWS, EPOCHS, THRESHOLD = 32, 16, 3000, 48, 5, 0.5
+WORDS, TRIPLES, WIDTH, HIDDEN, HEADS = 1 << 14, 1 << 15, 8, 8, range(3, 9)
+WINDOW, STRIDE, SAMPLE, TRAIN_WINDOWS, EPOCHS, THRESHOLD = 32, 16, 6000, 48, 5, 0.5
 SIGNS = ".,;:!?\"'()[]{}<>|*#$%&/\\-_=+~^`@"
 
 
-def inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of distinct words: the word place, and the places of letter triples with where each word's begin."""
-    cores = [w.strip(SIGNS).lower().encode("utf-8", "replace") for w in words]
-    place = (labelled.crcs(cores) % WORDS).astype(np.int64)
-    data = np.frombuffer(b"".join([b"<" + c + b">" for c in cores]) + b"  ", np.uint8).astype(np.uint64)
-    ends = np.cumsum([len(c) + 2 for c in cores]) if cores else np.zeros(0, np.int64)
-    h = (data[:-2] * np.uint64(0x9E3779B1) ^ data[1:-1] * np.uint64(0x85EBCA77) ^ data[2:] * np.uint64(0xC2B2AE3D)) & np.uint64(0xFFFFFFFF)
-    return place, (h * np.uint64(0x27D4EB2F) >> np.uint64(7)).astype(np.int64) % TRIPLES, ends.astype(np.int64)
+class Inputs:
+    """Of distinct words: the word place, the places of letter triples (flat, with where each word's begin and how many there are), and the places of beginnings (-1: too short)."""
+
+    def __init__(self, place, triples, start, count, heads):
+        self.place, self.triples, self.start, self.count, self.heads = place, triples, start, count, heads
+
+    @classmethod
+    def of(cls, words: list[str]) -> Inputs:
+        cores = [w.strip(SIGNS).lower().encode("utf-8", "replace") for w in words]
+        data = np.frombuffer(b"".join([b"<" + c + b">" for c in cores]) + b"  ", np.uint8).astype(np.uint64)
+        count = np.array([len(c) + 2 for c in cores], np.int64)
+        h = (data[:-2] * np.uint64(0x9E3779B1) ^ data[1:-1] * np.uint64(0x85EBCA77) ^ data[2:] * np.uint64(0xC2B2AE3D)) & np.uint64(0xFFFFFFFF)
+        heads = np.array([[zlib.crc32(c[:n]) % TRIPLES if len(c) >= n else -1 for n in HEADS] for c in cores], np.int64).reshape(-1, len(HEADS))
+        return cls((labelled.crcs(cores) % WORDS).astype(np.int64), (h * np.uint64(0x27D4EB2F) >> np.uint64(7)).astype(np.int64) % TRIPLES, np.cumsum(count) - count, count, heads)
+
+    def take(self, k: np.ndarray) -> Inputs:
+        count = self.count[k]
+        start = np.cumsum(count) - count
+        flat = np.arange(int(count.sum())) - np.repeat(start - self.start[k], count)
+        return Inputs(self.place[k], self.triples[flat], start, count, self.heads[k])
+
+    def __len__(self) -> int:
+        return len(self.place)
 
 
 def window_table(ids: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,20 +82,22 @@ class Net:
     def __init__(self, seed: int = 11):
         r = np.random.default_rng(seed)
         f = lambda *s: (r.standard_normal(s) * 0.3).astype(np.float32)
-        self.p = {"E": f(WORDS, WIDTH) * 0.1, "C": f(TRIPLES, WIDTH) * 0.1, "A": f(2 * HIDDEN, HIDDEN), "v": f(HIDDEN), "o": f(2 * HIDDEN), "c": np.zeros(1, np.float32)}
+        self.p = {"E": f(WORDS, WIDTH) * 0.1, "C": f(TRIPLES, WIDTH) * 0.1, "D": f(TRIPLES, WIDTH) * 0.1, "A": f(2 * HIDDEN, HIDDEN), "v": f(HIDDEN), "o": f(2 * HIDDEN), "c": np.zeros(1, np.float32)}
         for d in "fb":
-            self.p |= {f"W{d}": f(2 * WIDTH, 3 * HIDDEN), f"U{d}": f(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
-        self.scale, self.shift = 1.0, 0.0
+            self.p |= {f"W{d}": f(3 * WIDTH, 3 * HIDDEN), f"U{d}": f(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
+        self.shift = 0.0
         self.constant: float | None = None
 
-    def vectors(self, words: list[str]) -> np.ndarray:
+    def vectors(self, words: Inputs) -> np.ndarray:
         """Inputs of distinct words; one more row at the end, of zeros, pads."""
-        place, triples, ends = inputs(words)
-        x = np.zeros((len(words) + 1, 2 * WIDTH), np.float32)
-        if words:
-            starts = np.concatenate([[0], ends[:-1]])
-            x[:-1, :WIDTH] = self.p["E"][place]
-            x[:-1, WIDTH:] = np.add.reduceat(self.p["C"][triples[: ends[-1]]], starts, axis=0) / (ends - starts)[:, None]
+        x, p = np.zeros((len(words) + 1, 3 * WIDTH), np.float32), self.p
+        if len(words):
+            x[:-1, :WIDTH] = p["E"][words.place]
+            x[:-1, WIDTH : 2 * WIDTH] = np.add.reduceat(p["C"][words.triples[: int(words.count.sum())]], words.start, axis=0) / words.count[:, None]
+            ok = words.heads >= 0
+            for j in range(len(HEADS)):
+                x[:-1, 2 * WIDTH :] += np.where(ok[:, j, None], p["D"][words.heads[:, j]], 0)
+            x[:-1, 2 * WIDTH :] /= np.maximum(ok.sum(1), 1)[:, None]
         return x
 
     def states(self, gates: np.ndarray, table: np.ndarray, d: str, keep: bool = False):
@@ -110,16 +130,10 @@ class Net:
             out.append((a[:, :, None] * h).sum(0) @ p["o"] + p["c"][0])
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
-    def gradients(self, words: list[str], table: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, words: Inputs, table: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """table: windows over `words`, whose number is the pad."""
         p, H = self.p, HIDDEN
-        used, table = np.unique(table, return_inverse=True)
-        table = table.reshape(-1, WINDOW)
-        words = [words[k] if k < len(words) else "" for k in used.tolist()]
-        pad = np.array([w == "" for w in words])
-        place, triples, ends = inputs(words)
-        starts = np.concatenate([[0], ends[:-1]])
-        x = self.vectors(words)[:-1]
-        x[pad] = 0
+        x = self.vectors(words)
         states, caches = {}, {}
         for d in "fb":
             states[d], caches[d] = self.states(x @ p[f"W{d}"] + p[f"b{d}"], table, d, True)
@@ -155,23 +169,26 @@ class Net:
                 np.add.at(dgates, table[:, t], np.concatenate([dzr, dn], axis=1))
             g[f"U{d}"], g[f"b{d}"], g[f"W{d}"] = dU, dgates.sum(0), x.T @ dgates
             dx += dgates @ W.T
-        dx[pad] = 0
-        g["E"], g["C"] = np.zeros_like(p["E"]), np.zeros_like(p["C"])
-        np.add.at(g["E"], place, dx[:, :WIDTH])
-        sizes = ends - starts
-        np.add.at(g["C"], triples[: ends[-1]], np.repeat(dx[:, WIDTH:] / sizes[:, None], sizes, axis=0))
+        dx = dx[:-1]
+        g |= {k: np.zeros_like(p[k]) for k in "ECD"}
+        np.add.at(g["E"], words.place, dx[:, :WIDTH])
+        np.add.at(g["C"], words.triples[: int(words.count.sum())], np.repeat(dx[:, WIDTH : 2 * WIDTH] / words.count[:, None], words.count, axis=0))
+        ok = words.heads >= 0
+        share = dx[:, 2 * WIDTH :] / np.maximum(ok.sum(1), 1)[:, None]
+        for j in range(len(HEADS)):
+            np.add.at(g["D"], words.heads[ok[:, j], j], share[ok[:, j]])
         return g
 
     def document_margins(self, texts: list[str | None]) -> np.ndarray:
         words, ids, offsets = labelled.indexed_words(texts)
         table, text = window_table(ids, offsets, len(words))
-        m = self.margins(self.vectors(words), table)
+        m = self.margins(self.vectors(Inputs.of(words)), table)
         return np.maximum.reduceat(m, np.searchsorted(text, np.arange(len(texts)))) if len(texts) else m
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        return sigmoid(self.document_margins(texts).astype(np.float64) * self.scale + self.shift)
+        return sigmoid(self.document_margins(texts).astype(np.float64) + self.shift)
 
 
 def train(texts: list[str | None], y: np.ndarray, seed: int = 17) -> Net:
@@ -183,19 +200,30 @@ def train(texts: list[str | None], y: np.ndarray, seed: int = 17) -> Net:
     words, ids, offsets = labelled.indexed_words(texts)
     table, text = window_table(ids, offsets, len(words))
     first = np.searchsorted(text, np.arange(len(texts) + 1))
-    # The first coordinate of a word vector starts from how much more often toxic documents hold the word.
-    place = inputs(words)[0]
-    seen = np.zeros((2, WORDS))
-    for k in np.flatnonzero(~aside).tolist():
-        seen[y[k], np.unique(place[ids[offsets[k] : offsets[k + 1]]])] += 1
+    every = Inputs.of(words)
+    # The first coordinate of a vector starts from how much more often toxic documents hold what it stands for.
     n = np.array([(~aside & (y == c)).sum() for c in (0, 1)])
-    net.p["E"][:, 0] = np.clip(np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1)), -2, 4) * 0.5
+    for name, size in (("E", WORDS), ("D", TRIPLES)):
+        seen = np.zeros((2, size))
+        for k in np.flatnonzero(~aside).tolist():
+            own = np.unique(ids[offsets[k] : offsets[k + 1]])
+            places = np.unique(every.place[own] if name == "E" else every.heads[own])
+            seen[y[k], places[places >= 0]] += 1
+        net.p[name][:, 0] = np.clip(np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1)), -2, 4) * 0.5
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+
+    def narrowed(t: np.ndarray) -> tuple[Inputs, np.ndarray]:
+        """The words that windows hold, and the windows over those."""
+        used = np.unique(t)
+        used = used[used < len(every)]
+        return every.take(used), np.searchsorted(used, t)  # the pad comes after all
+
     step, learn = 0, np.flatnonzero(~aside)
     for _ in range(EPOCHS):
         for part in np.array_split(r.permutation(learn), max(1, len(learn) // 64)):
             rows = [np.arange(first[k], first[k + 1]) if first[k + 1] - first[k] <= TRAIN_WINDOWS else np.linspace(first[k], first[k + 1] - 1, TRAIN_WINDOWS).astype(int) for k in part]
-            m = net.margins(net.vectors(words), table[np.concatenate(rows)])
+            own, t = narrowed(table[np.concatenate(rows)])
+            m = net.margins(net.vectors(own), t)
             picked, target = [], []
             at = 0
             for k, w in zip(part.tolist(), rows):
@@ -209,20 +237,20 @@ def train(texts: list[str | None], y: np.ndarray, seed: int = 17) -> Net:
             target = np.array(target, np.float32)
             weight = np.where(target == 1, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum())).astype(np.float32)
             step += 1
-            for k, g in net.gradients(words, table[picked], target, weight).items():
+            for k, g in net.gradients(*narrowed(table[picked]), target, weight).items():
                 a, b = moment[k]
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 net.p[k] -= (0.02 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     m, t = net.document_margins([x for x, s in zip(texts, aside) if s]).astype(np.float64), y[aside].astype(np.float64)
     if len(set(t.tolist())) == 2:
-        m_all, w = np.stack([m, np.ones_like(m)], 1), np.array([1.0, 0.0])
-        target = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / ((1 - t).sum() + 2))
-        for _ in range(50):
-            q = sigmoid(m_all @ w)
-            w -= np.linalg.solve(m_all.T @ (m_all * (q * (1 - q) + 1e-4)[:, None]) + 1e-3 * np.eye(2), m_all.T @ (q - target) + 1e-3 * (w - [1, 0]))
-        if w[0] > 0:
-            net.scale, net.shift = float(w[0]), float(w[1])
+        order = np.argsort(m)
+        m, t = m[order], t[order]
+        right = t.sum() - np.concatenate([[0], np.cumsum(t)])  # toxic ones from each cut on
+        f1 = 2 * right / (len(t) - np.arange(len(t) + 1) + t.sum())
+        best = np.flatnonzero(f1 == f1.max())
+        k = int(best[len(best) // 2])
+        net.shift = -float((m[max(k - 1, 0)] + m[min(k, len(m) - 1)]) / 2)
     return net
 
 
