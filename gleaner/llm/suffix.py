@@ -370,7 +370,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of docs with repeated passages taken out of text (a character cut through goes too) and n_chars counted anew; texts that lose all go."""
     done = dedup(docs, length)
-    kept = F.when(F.col("n_removed") > 0, F.regexp_replace(F.decode("kept", "UTF-8"), "�", "")).otherwise(F.col("text"))
+    kept = F.when(F.col("n_removed") > 0, F.expr("replace(make_valid_utf8(cast(kept as string)), '\ufffd', '')")).otherwise(F.col("text"))
     done = done.where("n_bytes = 0 or n_removed < n_bytes").withColumn("text", kept)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
