@@ -5,9 +5,10 @@ Distribution.  Each window of LENGTH bytes is routed by the least hash of the k-
 inside it, which equal windows share; neighbouring windows of one least hash travel together
 as one segment.  First only the hashes are exchanged, once for each chunk of documents, to
 learn which occur in two documents at all.  Segments of those go to blocks, equal segments
-once for each chunk with their smallest doc_id.  A block holds every occurrence of its
-windows, so its suffix array settles them for the whole corpus, and the array of any block
-stays small however large the corpus is.
+once for each chunk with their smallest doc_id, and are one text there; where a hash has
+several texts, the suffix array finds the windows that they share.  A block holds every
+occurrence of its windows, so its suffix array settles them for the whole corpus, and the
+array of any block stays small however large the corpus is.
 
 Suffix array of a block, by the difference cover {1, 2} modulo 3: triples at sampled places
 are sorted and named, the ranks of the names are found by recursion until names are unique
@@ -296,12 +297,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
         hash_ = np.zeros(len(texts), np.uint64)
         hash_[which] = hashes_
         order = np.argsort(hash_, kind="stable")
+        offs: list[np.ndarray] = [np.zeros(1, np.int32)] * len(texts)
+        mins: list[np.ndarray] = list(least.reshape(-1, 1))
+        # A segment that is the only text of its hash shares windows with its own copies alone, which are one text by now.
+        h = hash_[order]
+        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
+        order = order[np.repeat(np.diff(edge) > 1, np.diff(edge))]
         long = np.cumsum([len(texts[k]) + 1 for k in order.tolist()]) if len(order) else np.zeros(0, np.int64)
         whole = np.flatnonzero(np.concatenate([[True], np.diff(hash_[order]) != 0])) if len(order) else np.zeros(0, np.int64)  # one hash stays in one block
         part = (long[whole] - 1) // BLOCK_BYTES
         cuts = [*whole[np.flatnonzero(np.concatenate([[True], np.diff(part) != 0]))].tolist(), len(order)] if len(order) else [0]
-        offs: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
-        mins: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
         for a, b in zip(cuts, cuts[1:]):
             own = order[a:b]
             w, o, g = window_groups([texts[k] for k in own.tolist()], length)
