@@ -1,6 +1,466 @@
-"""Queries over the driver's tables, and their SQL."""
+"""Queries over the driver's tables, and their SQL.
+
+The tables hold no files, so a view stands in: each document is a file whose extension, path,
+size and times follow from its number.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import Conflict, DateLayout, DateSource, Keep, MoveOptions, OrganizeOptions, Overwrite
+from .functions import dates, detect, paths
+from .functions.templates import sanitized, sanitized_camera
+from .operators import classify, dedup, journal, plan, renames, report
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+EXTS = ["jpg", "png", "mp4", "mkv", "mp3", "pdf", "docx", "zip", "py", "html", "xyz123", ""]
+SYNTH = ["  <?php echo 1;", "<?XML version", "\n<HTML><b>", "package a\nimport x\ntype T\nfunc f", "def f(): 1", "# Title", "function x(){", "a => b", "export class", "interface A type B", "{color: red}", "[s]\nk=v", "\\documentclass{a}", "plain"]
+
+
+def add(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def doc_files(spark: SparkSession, sf: str, hashed: bool = True) -> DataFrame:
+    d = table(spark, sf, "documents")
+    ext = F.element_at(F.array(*[F.lit(x) for x in EXTS]), (F.col("doc_id") % 12 + 1).cast("int"))
+    path = F.concat(F.lit("/recovery/recup_dir."), (F.col("doc_id") % 10 + 1).cast("string"), F.lit("/f"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.when(ext != "", F.concat(F.lit("."), ext)).otherwise(""))
+    return d.select(
+        F.col("doc_id").alias("ord"),
+        ext.alias("ext"),
+        path.alias("path"),
+        F.octet_length("text").cast("long").alias("size"),
+        F.coalesce(F.nullif(ext, F.lit("")), F.lit("unknown")).alias("type"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("doc_id").cast("int"))).alias("mtime"),
+        *([F.sha2("text", 256).alias("full_hash")] if hashed else []),
+    )
+
+
+_EXT = "(['" + "','".join(EXTS) + "'])[(doc_id % 12 + 1)::int]"
+FILES = f"""files as (
+  select doc_id as ord, ext, '/recovery/recup_dir.' || (doc_id % 10 + 1) || '/f' || lpad(doc_id::varchar, 7, '0') || case when ext <> '' then '.' || ext else '' end as path,
+    strlen(text)::bigint as size, case when ext = '' then 'unknown' else ext end as type, timestamp '2024-01-01' + to_hours(doc_id::int) as mtime, sha256(text) as full_hash
+  from (select *, {_EXT} as ext from documents))"""
+_CAT = "case type " + " ".join(f"when '{e}' then '{paths.categories()[e]}'" for e in EXTS if e in paths.categories()) + " else 'others/' || type end"
+CAT = FILES + f", cat as (select *, {_CAT} as target_path from files)"
+_HUMAN = "case when {0} >= 1099511627776 then printf('%.2f', {0} / 1099511627776.0) || ' TB' when {0} >= 1073741824 then printf('%.2f', {0} / 1073741824.0) || ' GB' when {0} >= 1048576 then printf('%.2f', {0} / 1048576.0) || ' MB' when {0} >= 1024 then printf('%.2f', {0} / 1024.0) || ' KB' else {0} || ' B' end"
+
+
+def classified(spark, sf, hashed=False):
+    return classify.classify(doc_files(spark, sf, hashed))
+
+
+# ---- duplicates -------------------------------------------------------------------------
+
+@add("dup_groups", """
+with g as (select sha256(text) as h, strlen(text)::bigint as size, count(*)::int as "count" from documents group by 1, 2 having count(*) > 1)
+select h as hash, substr(h, 1, 16) || '...' as short_hash, size, "count", size * ("count" - 1) as wasted_space from g""")
+def _(spark, sf):
+    g = dedup.duplicate_stats(doc_files(spark, sf))
+    return g.select("hash", paths.display_hash(F.col("hash")).alias("short_hash"), "size", F.col("count").cast("int").alias("count"), "wasted_space")
+
+
+@add("dup_group_paths", f"""
+with {FILES} select full_hash as hash, any_value(size) as size, count(*)::int as "count", array_to_string(list_sort(list(path)), ',') as paths, any_value(size) * (count(*) - 1) as wasted_space
+from files group by 1 having count(*) > 1""")
+def _(spark, sf):
+    return dedup.duplicate_groups(doc_files(spark, sf)).withColumn("paths", F.array_join("paths", ","))
+
+
+@add("dup_report", f"""
+with {FILES}, g as (select full_hash, any_value(size) as size, count(*) as n from files where size >= 256 group by 1 having count(*) > 1)
+select (select count(*) from files)::bigint as total_files, (select count(*) from files where size < 256)::bigint as skipped_small_files,
+  coalesce(sum(n), 0)::bigint as duplicate_files, count(*)::bigint as duplicate_groups, coalesce(sum(size * (n - 1)), 0)::bigint as wasted_space_bytes,
+  ((select count(*) from files) - coalesce(sum(n), 0) + count(*) - (select count(*) from files where size < 256))::bigint as unique_files from g""")
+def _(spark, sf):
+    return dedup.duplicate_report(doc_files(spark, sf), min_size=256)
+
+
+@add("dup_quick_hash", """
+select doc_id, case when length(text) <= 256 then sha256(text) else sha256(text[1:64] || right(text, 64) || lpad(printf('%X', length(text)), 16, '0')) end as quick_hash from documents""")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", dedup.quick_hash_text(F.col("text"), 64, 256).alias("quick_hash"))
+
+
+@add("dup_quick_staged", """
+with q as (select doc_id, text, strlen(text) as size, case when length(text) <= 256 then sha256(text) else sha256(text[1:64] || right(text, 64) || lpad(printf('%X', length(text)), 16, '0')) end as quick_hash from documents),
+s as (select * from q where size in (select size from q group by 1 having count(*) > 1)),
+c as (select s.* from s join (select size, quick_hash from s group by 1, 2 having count(*) > 1) using (size, quick_hash))
+select sha256(text) as hash, count(*) as "count" from c group by 1 having count(*) > 1""")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("text", F.octet_length("text").alias("size"))
+    c = dedup.staged_candidates(d, dedup.quick_hash_text(F.col("text"), 64, 256))
+    return c.groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("count")).where("count > 1")
+
+
+for _keep, _order in ((Keep.FIRST, "path"), (Keep.SHORTEST, "strlen(path), path"), (Keep.OLDEST, "mtime, path"), (Keep.NEWEST, "mtime desc, path"), (Keep.BY_PATH, "case when starts_with(path, '/recovery/recup_dir.3/') then 0 when starts_with(path, '/recovery/recup_dir.1/') then 1 else 2 end, strlen(path), path")):
+    add(f"dup_keep_{_keep.value}", f"""with {FILES}, r as (select full_hash as hash, path as keep_path, row_number() over (partition by full_hash order by {_order}) as rn, count(*) over (partition by full_hash) as "count" from files)
+select hash, keep_path, "count" from r where rn = 1 and "count" > 1""")(lambda spark, sf, k=_keep: dedup.kept(doc_files(spark, sf), k, ["/recovery/recup_dir.3", "/recovery/recup_dir.1"]))
+
+_ACTS = f"""with {FILES}, r as (select *, first_value(path) over (partition by full_hash order by strlen(path), path) as keep_path from files),
+a as (select path, keep_path, full_hash as hash, size from r where path <> keep_path)"""
+
+
+@add("dedup_actions", _ACTS + " select * from a")
+def _(spark, sf):
+    return dedup.actions(doc_files(spark, sf), Keep.SHORTEST)
+
+
+@add("dedup_action_report", _ACTS + " select count(distinct hash) as groups, count(*) as files, coalesce(sum(size), 0)::bigint as space_saved from a")
+def _(spark, sf):
+    return dedup.action_report(dedup.actions(doc_files(spark, sf), Keep.SHORTEST))
+
+
+# ---- statistics and report --------------------------------------------------------------
+
+@add("type_stats", f"with {FILES} select type, count(*) as files, sum(size)::bigint as bytes from files group by 1")
+def _(spark, sf):
+    return report.type_stats(doc_files(spark, sf, False))
+
+
+@add("scan_totals", f"with {FILES} select count(*) as files, sum(size)::bigint as bytes, 0::bigint as errors, count(distinct regexp_extract(path, '^(.*)/[^/]*$', 1)) as dirs from files")
+def _(spark, sf):
+    return report.totals(doc_files(spark, sf, False))
+
+
+@add("category_stats", f"""with {CAT}, g as (select split_part(target_path, '/', 1) as category, count(*) as "count", sum(size)::bigint as bytes from cat group by 1)
+select category, "count", bytes, {_HUMAN.format('bytes')} as human, "count" * 100.0::double / (sum("count") over ())::double as percent from g""")
+def _(spark, sf):
+    return report.category_stats(classified(spark, sf))
+
+
+@add("type_top50", f"""with {FILES}, g as (select type as ext, count(*) as "count", sum(size)::bigint as bytes from files group by 1)
+select ext, "count", bytes, {_HUMAN.format('bytes')} as human, "count" * 100.0::double / (sum("count") over ())::double as percent from g order by 2 desc, 1 limit 50""")
+def _(spark, sf):
+    return report.type_top(doc_files(spark, sf, False))
+
+
+@add("report_files", f"with {CAT} select path, size, {_HUMAN.format('size')} as human, type, split_part(target_path, '/', 1) as category from cat order by path limit 1000")
+def _(spark, sf):
+    return report.first_rows(classified(spark, sf))
+
+
+@add("console_types", f"with {FILES} select type, count(*) as files from files group by 1 having count(*) > 10")
+def _(spark, sf):
+    return report.type_stats(doc_files(spark, sf, False)).where("files > 10").select("type", "files")
+
+
+@add("error_groups", """select case when quality = 0 then 'corrupted' else 'truncated' end as type, count(*) as files, min(doc_id) as first_id from labels where quality = 0 or toxic = 1 group by 1""")
+def _(spark, sf):
+    rows = table(spark, sf, "labels").withColumn("type", F.when(F.col("quality") == 0, "corrupted").when(F.col("toxic") == 1, "truncated"))
+    return rows.where("type is not null").groupBy("type").agg(F.count("*").alias("files"), F.min("doc_id").alias("first_id"))
+
+
+# ---- classification ---------------------------------------------------------------------
+
+@add("classify", f"with {CAT} select path, target_path from cat")
+def _(spark, sf):
+    return classified(spark, sf).select("path", "target_path")
+
+
+for _name, _layout, _fmt in (("year", DateLayout.YEAR, "%Y"), ("month", DateLayout.YEAR_MONTH, "%Y/%m"), ("day", DateLayout.YEAR_MONTH_DAY, "%Y/%m/%d")):
+    add(f"classify_by_{_name}", f"with {CAT} select path, case when starts_with(target_path, 'images') or starts_with(target_path, 'videos') or starts_with(target_path, 'audio/') then target_path || '/' || strftime(mtime, '{_fmt}') else target_path end as target_path from cat")(
+        lambda spark, sf, o=_layout: classify.classify(doc_files(spark, sf, False), OrganizeOptions(layout=o)).select("path", "target_path")
+    )
+
+
+@add("date_unknown", """select o_orderkey, case when year(d) between 1990 and 2100 then strftime(d, '%Y/%m') else 'unknown_date' end as folder
+from (select o_orderkey, o_orderdate + to_years(((o_orderkey % 3 - 1) * 120)::int) as d from orders)""")
+def _(spark, sf):
+    d = F.col("o_orderdate") + F.make_ym_interval(((F.col("o_orderkey") % 3 - 1) * 120).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", dates.date_folder(d, DateLayout.YEAR_MONTH).alias("folder"))
+
+
+@add("date_source", f"with {FILES} select path, case when ord % 3 = 0 then mtime - interval 365 day else mtime end as auto_date, case when ord % 3 = 0 then mtime - interval 365 day end as metadata_date from files")
+def _(spark, sf):
+    m, v = F.col("mtime") - F.expr("interval 365 day"), F.col("ord") % 3 == 0
+    return doc_files(spark, sf, False).select("path", dates.file_date(v, m, F.col("mtime"), DateSource.AUTO).alias("auto_date"), dates.file_date(v, m, F.col("mtime"), DateSource.METADATA).alias("metadata_date"))
+
+
+@add("asset_thumb", """select p_partkey, not exif and ((w <= 128 and h <= 128) or size < 10000) as asset, not exif and starts_with(lower(p_name), 't') and size < 50000 as thumb
+from (select p_partkey, p_name, p_partkey % 3 = 0 as exif, p_size * 5 as w, p_size * 3 as h, p_partkey * 37 % 70000 as size from part)""")
+def _(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_name", (F.col("p_partkey") % 3 == 0).alias("exif"), (F.col("p_size") * 5).alias("w"), (F.col("p_size") * 3).alias("h"), (F.col("p_partkey") * 37 % 70000).alias("size"))
+    return p.select("p_partkey", classify.is_asset(F.col("exif"), F.col("w"), F.col("h"), F.col("size")).alias("asset"), classify.is_thumbnail(F.col("exif"), F.col("p_name"), F.col("size")).alias("thumb"))
+
+
+@add("human_size", f"select size, {_HUMAN.format('size')} as human from (select distinct (l_orderkey * l_partkey * 1152 % 5000000000)::bigint as size from lineitem)")
+def _(spark, sf):
+    s = table(spark, sf, "lineitem").select((F.col("l_orderkey") * F.col("l_partkey") * 1152 % 5000000000).cast("long").alias("size")).distinct()
+    return s.select("size", paths.readable_size(F.col("size")).alias("human"))
+
+
+@add("coarse_kinds", f"""with {FILES} select path, case when type in ('jpg', 'png') then 'images' when type in ('mp4', 'mkv') then 'videos' when type = 'mp3' then 'audio' when type in ('pdf', 'docx') then 'documents' when type = 'zip' then 'archives' else 'other' end as mover,
+case when type in ('jpg', 'png') then 'images' when type in ('mp4', 'mkv') then 'videos' when type = 'mp3' then 'audio' when type in ('pdf', 'docx') then 'documents' else 'other' end as renamer, type in ('jpg', 'png', 'mp3') as validated from files""")
+def _(spark, sf):
+    t = F.col("type")
+    return doc_files(spark, sf, False).select("path", paths.coarse_kind(t).alias("mover"), paths.coarse_kind_renamer(t).alias("renamer"), paths.should_validate(t, "image, AUDIO").alias("validated"))
+
+
+@add("path_parts", f"""with {FILES} select path, regexp_extract(path, '[^/]*$') as base, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, regexp_extract(path, '(\\.[^./]*)$', 1) as ext, case when strlen(path) <= 24 then path else substr(path, 1, 10) || '...' || right(path, 11) end as short,
+starts_with(path, '/recovery/recup_dir.1/') as inside from files""")
+def _(spark, sf):
+    p = F.col("path")
+    f = doc_files(spark, sf, False).withColumn("path", F.when(F.col("ord") % 10 == 3, p).otherwise(p))
+    return f.select("path", paths.basename(p).alias("base"), paths.dirname(p).alias("dir"), paths.extension(p).alias("ext"), paths.elided(p, 24).alias("short"), paths.within(p, "/recovery/recup_dir.1").alias("inside"))
+
+
+# ---- plans ------------------------------------------------------------------------------
+
+def planned(spark, sf, how, **more):
+    """Targets without file names, so that files of a type collide."""
+    o = MoveOptions(dest_root="/out", overwrite=how, append_basename=False, skip_corrupted=False, **more)
+    return plan.operations(classified(spark, sf, True).withColumn("valid", F.lit(True)), o)
+
+
+_OPS = CAT + """, ops as (select ord, path as source, '/out/' || target_path as destination, size, full_hash as hash, type, array_to_string(list_slice(string_split(target_path, '/'), 1, 2), '/') as category,
+ row_number() over (partition by target_path order by ord) as rn from cat)"""
+
+
+@add("plan_filter", f"with {FILES} select path from files where coalesce(ord % 5 <> 0, true) and size >= 500 and lower(type) not in ('zip', 'html') and lower(type) in ('jpg', 'png', 'zip', 'pdf', 'html')")
+def _(spark, sf):
+    o = MoveOptions(skip_corrupted=True, skip_small=500, exclude=["ZIP", "html"], only=["JPG", "png", "zip", "PDF", "html"])
+    return doc_files(spark, sf, False).withColumn("valid", F.col("ord") % 5 != 0).where(plan.included(o)).select("path")
+
+
+@add("plan_conflict_rename", f"""with {_OPS} select ord, source, case when rn = 1 then destination else destination || printf('_%03d', rn - 1) end as destination, size, hash, type, category, rn > 1 as conflict, 'pending' as status from ops""")
+def _(spark, sf):
+    return planned(spark, sf, Overwrite.RENAME)
+
+
+@add("plan_conflict_skip", f"with {_OPS} select ord, source, destination, size, hash, type, category, rn > 1 as conflict, case when rn > 1 then 'skipped' else 'pending' end as status from ops")
+def _(spark, sf):
+    return planned(spark, sf, Overwrite.SKIP)
+
+
+@add("plan_conflict_overwrite", f"with {_OPS} select ord, source, destination, size, hash, type, category, rn > 1 as conflict, 'pending' as status from ops")
+def _(spark, sf):
+    return planned(spark, sf, Overwrite.OVERWRITE)
+
+
+@add("plan_counters", f"""with {_OPS} select count(*) filter (where rn = 1) as files, sum(size) filter (where rn = 1)::bigint as bytes, count(*) filter (where rn > 1) as skipped, count(*) filter (where rn > 1) as conflicts,
+count(distinct regexp_extract(destination, '^(.*)/[^/]*$', 1)) as dirs from ops""")
+def _(spark, sf):
+    return plan.counters(planned(spark, sf, Overwrite.SKIP))
+
+
+@add("plan_stats", f"with {_OPS} select category, count(*) as files, sum(size)::bigint as bytes from ops group by 1")
+def _(spark, sf):
+    return plan.stats_by_category(planned(spark, sf, Overwrite.OVERWRITE))
+
+
+@add("plan_pending_bytes", f"with {_OPS} select sum(size)::bigint as bytes from ops")
+def _(spark, sf):
+    return plan.pending_bytes(planned(spark, sf, Overwrite.OVERWRITE))
+
+
+@add("plan_preview", f"with {CAT} select ord, path as source, case when strlen('/out/' || target_path) <= 20 then '/out/' || target_path else substr('/out/' || target_path, 1, 8) || '...' || right('/out/' || target_path, 9) end as destination from cat order by ord limit 20")
+def _(spark, sf):
+    p = plan.preview(planned(spark, sf, Overwrite.OVERWRITE), 20, 20)
+    full = planned(spark, sf, Overwrite.OVERWRITE).select("ord", F.col("source").alias("s"))
+    return p.join(full, "ord").select("ord", F.col("s").alias("source"), "destination")
+
+
+@add("plan_violations", f"""with {FILES}, t as (select ord, case when ord % 7 = 0 then '' when ord % 7 = 1 then '/other/x' else path end as path, case ord % 5 when 0 then '../up' when 1 then '/abs' when 2 then 'a/../../b' else 'ok/..notes' end as target_path from files)
+select ord, case when path = '' then 'empty source' when not starts_with(path, '/recovery/') then 'source outside the root' when starts_with(target_path, '/') then 'absolute target' when regexp_matches(target_path, '(^|/)\\.\\.(/|$)') then 'target leaves the destination' end as violation from t""")
+def _(spark, sf):
+    f = doc_files(spark, sf, False)
+    f = f.withColumn("path", F.when(F.col("ord") % 7 == 0, "").when(F.col("ord") % 7 == 1, "/other/x").otherwise(F.col("path")))
+    k = F.col("ord") % 5
+    f = f.withColumn("target_path", F.when(k == 0, "../up").when(k == 1, "/abs").when(k == 2, "a/../../b").otherwise("ok/..notes"))
+    return f.select("ord", plan.violation(MoveOptions(source_root="/recovery")).alias("violation"))
+
+
+@add("exec_counters", """select count(*) filter (where s = 'success') as succeeded, count(*) filter (where s = 'success' and r) as resumed, count(*) filter (where s = 'failed') as failed, count(*) filter (where s = 'skipped') as skipped,
+coalesce(sum(o_custkey) filter (where s = 'success' and not r), 0)::bigint as bytes from (select case o_orderstatus when 'F' then 'success' when 'O' then 'failed' else 'skipped' end as s, o_orderkey % 4 = 0 as r, o_custkey from orders)""")
+def _(spark, sf):
+    s = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failed").otherwise("skipped")
+    return plan.execution_counters(table(spark, sf, "orders").select(s.alias("status"), (F.col("o_orderkey") % 4 == 0).alias("resumed"), F.col("o_custkey").alias("size")))
+
+
+# ---- resume and journal -----------------------------------------------------------------
+
+@add("resume_anti_join", f"with {FILES} select path from files where ord % 2 = 1")
+def _(spark, sf):
+    f = doc_files(spark, sf, False).select("path", "ord")
+    return f.select("path").join(f.where("ord % 2 = 0").select("path").distinct(), "path", "left_anti")
+
+
+@add("append_union", f"with {FILES} select type, count(*) as files from (select type from files where ord % 2 = 0 union all select type from files where ord % 2 = 1) group by 1")
+def _(spark, sf):
+    f = doc_files(spark, sf, False).select("type", "ord")
+    return f.where("ord % 2 = 0").unionByName(f.where("ord % 2 = 1")).groupBy("type").agg(F.count("*").alias("files"))
+
+
+def orders_journal(spark, sf):
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        F.when(k % 11 == 0, 2).otherwise(1).alias("schema_version"), F.when(k % 13 != 0, F.col("o_orderdate")).alias("timestamp"), F.when(k % 17 == 0, "burn").otherwise("copy").alias("action"),
+        F.concat(F.lit("/s/"), k.cast("string")).alias("source"), F.concat(F.lit("/d/"), k.cast("string")).alias("destination"), F.when(k % 19 == 0, -1).otherwise(F.col("o_custkey")).alias("size"),
+        F.when(k % 23 == 0, "abc").when(k % 5 == 0, "").otherwise(F.upper(F.sha2(k.cast("string"), 256))).alias("sha256"), F.when(k % 29 == 0, "pending").when(k % 3 == 0, "failed").otherwise("success").alias("status"), F.lit("").alias("error"), k.alias("k"))
+
+
+_JOURNAL = """j as (select o_orderkey as k, case when o_orderkey % 11 = 0 then 2 else 1 end as v, case when o_orderkey % 13 <> 0 then o_orderdate end as ts, case when o_orderkey % 17 = 0 then 'burn' else 'copy' end as action, case when o_orderkey % 19 = 0 then -1 else o_custkey end as size,
+ case when o_orderkey % 23 = 0 then 'abc' when o_orderkey % 5 = 0 then '' else upper(sha256(o_orderkey::varchar)) end as sha, case when o_orderkey % 29 = 0 then 'pending' when o_orderkey % 3 = 0 then 'failed' else 'success' end as status, o_custkey from orders)"""
+
+
+@add("journal_validate", f"""with {_JOURNAL} select k, case when v <> 1 then 'unsupported version' when ts is null then 'no timestamp' when action <> 'copy' then 'unknown action' when size < 0 then 'negative size' when sha = 'abc' then 'not a full hash' when status = 'pending' then 'status not final' end as problem from j""")
+def _(spark, sf):
+    return orders_journal(spark, sf).select("k", journal.entry_error().alias("problem"))
+
+
+_RESUMED = f"""with {_JOURNAL}, r as (select k, case when k % 7 = 0 then 'skipped' else 'pending' end as status0, case when k % 31 <> 0 then sha256(k::varchar) else sha256('other') end as dest_sha,
+ (action = 'copy' and status = 'success' and size = o_custkey) as met, lower(sha) = sha256(k::varchar) as same from j)"""
+
+
+def journal_resumed(spark, sf):
+    j = orders_journal(spark, sf)
+    own = F.sha2(F.col("k").cast("string"), 256)
+    ops = table(spark, sf, "orders").select(F.concat(F.lit("/s/"), F.col("o_orderkey").cast("string")).alias("source"), F.concat(F.lit("/d/"), F.col("o_orderkey").cast("string")).alias("destination"), F.col("o_custkey").alias("size"), F.col("o_orderkey").alias("k"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("hash"), F.when(F.col("o_orderkey") % 7 == 0, "skipped").otherwise("pending").alias("status"))
+    dest = ops.select("destination", F.col("size").alias("dest_size"), F.when(F.col("k") % 31 != 0, own).otherwise(F.sha2(F.lit("other"), 256)).alias("dest_sha"))
+    return journal.resume(ops, j.drop("k"), dest, "copy")
+
+
+@add("journal_resume", _RESUMED + " select k, status0 = 'pending' and met and same and dest_sha = sha256(k::varchar) as resumed, status0 = 'pending' and met and not (same and dest_sha = sha256(k::varchar)) as unverified, case when status0 = 'pending' and met and same and dest_sha = sha256(k::varchar) then 'success' else status0 end as status from r")
+def _(spark, sf):
+    return journal_resumed(spark, sf).select("k", "resumed", "unverified", "status")
+
+
+@add("journal_resume_report", _RESUMED + " select count(*) filter (where status0 = 'pending' and met and same and dest_sha = sha256(k::varchar)) as resumed, count(*) filter (where status0 = 'pending' and met and not (same and dest_sha = sha256(k::varchar))) as unverified from r")
+def _(spark, sf):
+    return journal.resume_report(journal_resumed(spark, sf))
+
+
+# ---- detection --------------------------------------------------------------------------
+
+_TRIM = "regexp_replace({0}, '^\\s+', '')"
+_PATTERN = """case when {0} = '' then 'empty' when starts_with({1}, '<?php') then 'php' when starts_with(lower({1}), '<?xml') then 'xml' when starts_with(lower({1}), '<!doctype html>') or starts_with(lower({1}), '<html') then 'html'
+ when starts_with({1}, 'package ') and contains({0}, 'type ') and contains({0}, 'func ') and contains({0}, 'import ') then 'go' when starts_with({1}, '#!/usr/bin/python') or (contains({0}, 'def ') and contains({0}, ':')) then 'python'
+ when starts_with({1}, '# ') or contains({0}, chr(10) || '#') then 'md' when (contains({0}, 'function') and contains({0}, '{{')) or contains({0}, '=> ') then 'js' when (contains({0}, 'interface') and contains({0}, 'type ')) or contains({0}, 'export ') then 'ts'
+ when contains({0}, '{{') and contains({0}, '}}') and (contains({0}, 'color') or contains({0}, 'background') or contains({0}, 'font')) then 'css' when contains({0}, '[') and contains({0}, ']') and contains({0}, '=') then 'ini' when starts_with({1}, '\\documentclass') then 'latex' else 'other extension' end"""
+
+
+def _pattern(c: str) -> str:
+    return _PATTERN.format(c, _TRIM.format(c))
+
+
+_LITERALS = "([" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in SYNTH) + "])[(doc_id % 14 + 1)::int]"
+
+
+@add("detect_pattern_synth", f"select doc_id, {_pattern('t')} as class from (select doc_id, {_LITERALS} as t from documents)")
+def _(spark, sf):
+    t = F.element_at(F.array(*[F.lit(x) for x in SYNTH]), (F.col("doc_id") % 14 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", detect.pattern_type(F.col("t")).alias("class"))
+
+
+@add("detect_pattern_pages", f"select page_id, {_pattern('html')} as class from pages")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", detect.pattern_type(F.col("html")).alias("class"))
+
+
+@add("detect_pattern_docs", f"select doc_id, {_pattern('text')} as class from documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", detect.pattern_type(F.col("text")).alias("class"))
+
+
+@add("detect_magic", "select doc_id, (['png', 'pdf', 'gif', 'zip', 'mkv', 'flac', null])[(doc_id % 7 + 1)::int] as type from documents")
+def _(spark, sf):
+    heads = ["89504E470D0A1A0A00", "255044462D312E34", "47494638396101", "504B030414", "1A45DFA3010203", "664C614300", "41424344"]
+    h = F.unhex(F.element_at(F.array(*[F.lit(x) for x in heads]), (F.col("doc_id") % 7 + 1).cast("int")))
+    return table(spark, sf, "documents").select("doc_id", h.alias("h")).select("doc_id", detect.magic_column(F.col("h")).alias("type"))
+
+
+@add("validation_filter", "select doc_id, quality = 1 as valid from labels where quality = 0")
+def _(spark, sf):
+    return table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("valid")).where("not valid")
+
+
+# ---- renaming ---------------------------------------------------------------------------
+
+def contexts(spark, sf):
+    return doc_files(spark, sf).select("ord", F.when(F.col("ord") % 4 != 0, F.col("mtime")).alias("date"), F.when(F.col("ord") % 3 == 0, "Canon EOS-5D (x)").alias("camera"), F.concat(F.lit("im"), (F.col("ord") % 50).cast("string")).alias("original"), "ext", "type", paths.category(F.col("type")).alias("category"), F.col("full_hash").alias("hash"), (F.col("ord") + 1).alias("seq"), "size", F.lit(640).alias("width"), F.lit(None).cast("int").alias("height"))
+
+
+@add("rename_template", f"""with {CAT} select ord, case when ord % 4 <> 0 then strftime(mtime, '%Y-%m-%d') else 'unknown_date' end || '_' || case when ord % 3 = 0 then 'Canon_EOS-5D_x' else 'unknown_camera' end || '_' || case when ord + 1 > 9999 then (ord + 1)::varchar else lpad((ord + 1)::varchar, 4, '0') end || '_' || substr(full_hash, 1, 8) || '_640x0_'
+ || replace(target_path, '/', '_') || '_' || case when ord % 4 <> 0 then strftime(mtime, '%Y%m') else 'unknown_date' end || '.' || type as new_name from cat""")
+def _(spark, sf):
+    return renames.applied(contexts(spark, sf), "{date}_{camera}_{seq:4}_{hash:8}_{width}x{height}_{category}_{date:YYYYMM}.{ext}").select("ord", "new_name")
+
+
+@add("rename_seq", "select doc_id, row_number() over (order by doc_id)::int as seq from documents")
+def _(spark, sf):
+    return renames.sequenced(table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
+@add("rename_group_seq", "select doc_id, row_number() over (partition by source order by doc_id)::int as seq from documents")
+def _(spark, sf):
+    return renames.sequenced(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", "source").select("doc_id", "seq")
+
+
+def rename_rows(spark, sf):
+    return doc_files(spark, sf).select("ord", paths.dirname(F.col("path")).alias("target_dir"), F.concat(F.lit("im"), (F.col("ord") % 30).cast("string")).alias("name"), F.lit(".jpg").alias("ext"), F.col("full_hash").alias("hash"))
+
+
+_RN = f"""with {FILES}, n as (select ord, regexp_extract(path, '^(.*)/[^/]*$', 1) as target_dir, 'im' || (ord % 30) as name, full_hash as hash from files), r as (select *, row_number() over (partition by target_dir, name order by ord) as rn from n)"""
+
+
+@add("rename_conflict_increment", _RN + " select ord, target_dir, case when rn = 1 then name || '.jpg' else name || printf('_%04d.jpg', rn) end as new_name, case when rn > 1 then 'rename' else 'none' end as action, rn > 1 as conflict from r")
+def _(spark, sf):
+    return renames.resolved(rename_rows(spark, sf), Conflict.INCREMENT).select("ord", "target_dir", "new_name", "action", "conflict")
+
+
+@add("rename_conflict_hash", _RN.replace("full_hash as hash from files)", "sha256(ord::varchar) as hash from files)") + " select ord, target_dir, case when rn = 1 then name || '.jpg' else name || '_' || substr(hash, 1, 8) || '.jpg' end as new_name, case when rn > 1 then 'rename' else 'none' end as action, rn > 1 as conflict from r")
+def _(spark, sf):
+    rows = rename_rows(spark, sf).withColumn("hash", F.sha2(F.col("ord").cast("string"), 256))
+    return renames.resolved(rows, Conflict.HASH).select("ord", "target_dir", "new_name", "action", "conflict")
+
+
+@add("rename_conflict_skip", _RN + " select ord, target_dir, name || '.jpg' as new_name, case when rn > 1 then 'skip' else 'none' end as action, rn > 1 as conflict from r")
+def _(spark, sf):
+    return renames.resolved(rename_rows(spark, sf), Conflict.SKIP).select("ord", "target_dir", "new_name", "action", "conflict")
+
+
+@add("conflict_stats", _RN + " select count(*) as total, count(*) filter (where rn > 1) as conflicts, count(*) filter (where rn > 1) as renamed, 0::bigint as skipped, 0::bigint as overwritten from r")
+def _(spark, sf):
+    return renames.conflict_stats(renames.resolved(rename_rows(spark, sf), Conflict.INCREMENT))
+
+
+@add("conflicts_by_dir", _RN + " select target_dir, count(*) as conflicts from r where rn > 1 group by 1")
+def _(spark, sf):
+    return renames.conflicts_by_dir(renames.resolved(rename_rows(spark, sf), Conflict.INCREMENT))
+
+
+@add("sanitize_filename", """select p_partkey, case when upper(regexp_replace(s, '\\.[^.]*$', '')) in ('CON', 'NUL', 'COM1') then '_' || s else s end as clean
+from (select p_partkey, trim(regexp_replace(regexp_replace(n, '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g'), '\\s+', ' ', 'g')) as s from (select p_partkey, case p_partkey % 4 when 0 then 'con.txt' when 1 then ' a<b>:  ' || p_name || '?.jpg ' when 2 then p_name || '/' || p_brand else 'COM1' end as n from part))""")
+def _(spark, sf):
+    k = F.col("p_partkey") % 4
+    n = F.when(k == 0, "con.txt").when(k == 1, F.concat(F.lit(" a<b>:  "), "p_name", F.lit("?.jpg "))).when(k == 2, F.concat_ws("/", "p_name", "p_brand")).otherwise("COM1")
+    return table(spark, sf, "part").select("p_partkey", n.alias("n")).select("p_partkey", sanitized(F.col("n")).alias("clean"))
+
+
+@add("sanitize_camera", "select c_custkey, substr(regexp_replace(replace(c_name || ' (X) é/' || c_mktsegment, ' ', '_'), '[^\\p{L}\\p{Nd}_\\-]', '', 'g'), 1, 30) as camera from customer")
+def _(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", sanitized_camera(F.concat("c_name", F.lit(" (X) é/"), "c_mktsegment")).alias("camera"))
+
+
+# ---- incremental ------------------------------------------------------------------------
+
+@add("events_incremental", "select event_type, count(*) as events, sum(user_id)::bigint as users from events group by 1")
+def _(spark, sf):
+    from .streaming.incremental import available_counts
+
+    return available_counts(spark, f"{sf}/events.parquet")
