@@ -18,9 +18,11 @@ are not read.
 
 from __future__ import annotations
 
+import gc
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,8 @@ from . import common
 
 MASK_DELTA = 0xA282EAD8
 INDEX = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u8")])
-#: Words kept with their ids in each Python worker, and the longest word that is kept.
-KEPT_WORDS, KEPT_CHARS = 400_000, 48
+#: Words, and runs, kept with their ids in each Python worker, and the longest word that is kept.
+KEPT_WORDS, KEPT_RUNS, KEPT_CHARS = 300_000, 700_000, 48
 #: Runs of a word; below this character there are no marks that compose with a letter before them.
 RUNS, PLAIN_BELOW = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), "\u0100"
 
@@ -91,7 +93,7 @@ def tokenizer(path: str):
         t = Tokenizer.from_file(path)
         t.no_padding()
         t.no_truncation()
-        _tokenizers[path] = (t, {}, 2 if t.get_vocab_size() <= 1 << 16 else 4)
+        _tokenizers[path] = (t, ({}, {}), 2 if t.get_vocab_size() <= 1 << 16 else 4)
     return _tokenizers[path]
 
 
@@ -100,25 +102,24 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
     nothing across it or between letters and other signs; so blanks part a text into words, words
     met before are looked up, new ones are parted into runs of letters, digits and signs, and the
     library encodes the runs not met before."""
-    t, kept, width = tokenizer(path)
-    dtype = f"<u{width}"
+    t, (kept, runs), width = tokenizer(path)
+    code = "H" if width == 2 else "I"
     lowered = [x if not x or "<|" in x else x.encode().lower().decode() for x in texts]  # of bytes: A-Z alone; "<|" may begin a special token
     words = [(x or "").replace("\n", " ").split(" ") for x in lowered]
-    new = [w for w in {w for ws in words for w in ws} if w not in kept]
+    found = [list(map(kept.get, ws)) for ws in words]
+    new = list({w for ws, got in zip(words, found) if None in got for w, g in zip(ws, got) if g is None})
     parted = [RUNS.findall(w) if w and max(w) < PLAIN_BELOW and "'" not in w and "<" not in w else [w] for w in new]
-    runs = [r for r in {r for rs in parted for r in rs} if r not in kept]
-    fresh: dict[str, bytes] = {}
-    for at in range(0, len(runs), 20_000):
-        part = runs[at : at + 20_000]
-        fresh.update((r, np.array(e.ids, dtype).tobytes()) for r, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)))
-    kept.update(fresh)
-    for w, rs in zip(new, parted):
-        kept[w] = b"".join([kept[r] for r in rs])
-    out = [b"".join(map(kept.__getitem__, ws)) for ws in words]
-    room = max(0, KEPT_WORDS - (len(kept) - len(fresh.keys() | set(new))))
-    for at, w in enumerate(dict.fromkeys([*fresh, *new])):  # runs first: they are met more often
-        if at >= room or len(w) > KEPT_CHARS:
-            del kept[w]
+    fresh = list({r for rs in parted for r in rs if r not in runs})
+    for at in range(0, len(fresh), 20_000):
+        part = fresh[at : at + 20_000]
+        runs.update((r, array(code, e.ids).tobytes()) for r, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)))
+    whole = {w: runs[rs[0]] if len(rs) == 1 else b"".join([runs[r] for r in rs]) for w, rs in zip(new, parted)}
+    out = [b"".join(got) if None not in got else b"".join([whole[w] if g is None else g for w, g in zip(ws, got)]) for ws, got in zip(words, found)]
+    for w in fresh[max(0, KEPT_RUNS - (len(runs) - len(fresh))) :]:
+        del runs[w]
+    for w in new[: max(0, KEPT_WORDS - len(kept))]:
+        if len(w) <= KEPT_CHARS:
+            kept[w] = whole[w]
     return out
 
 
@@ -140,6 +141,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int])
         cut = np.array(bounds, np.int64)
         t, _, width = tokenizer(tokenizer_path)
         end = np.array([end_id], f"<u{width}").tobytes()
+        gc.freeze()  # the kept words need no walks
         for whole in batches:
             for b in common.slices(whole):
                 texts = b.column("text").to_pylist()
