@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import common
 
 LENGTH = 50
-CHUNK_BYTES, PART_BYTES, BLOCK_BYTES = 6 << 20, 1 << 20, 1 << 20
+CHUNK_BYTES, PART_BYTES, BLOCK_BYTES = 6 << 20, 1 << 20, 1 << 16
 LEAST = -(1 << 63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
