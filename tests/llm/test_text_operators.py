@@ -208,3 +208,32 @@ def test_decontamination_edges(spark):
     near = decontaminate.search(decontaminate.index(docs, None), wins, slop=1).where(F.size("words") == 2)
     assert near.count() == 3  # "alpha x beta" too
     assert decontaminate.keep_clean(docs, items).count() == 3
+
+
+def test_similar_texts_are_grouped(spark):
+    r = np.random.default_rng(9)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    rows, group = [], {}
+    for g in range(40):
+        base = [word() for _ in range(300)]
+        for c in range(3):
+            copy = list(base)
+            for k in r.choice(300, 2 * c, replace=False):  # up to 4 words changed: at most 20 of 296 shingles
+                copy[k] = word()
+            rows.append((10 * g + c, " ".join(copy), "", ""))
+            group[10 * g + c] = 10 * g
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert all(group[i] == c or i == c for i, c in got.items())  # nothing else is joined
+    assert sum(group[i] == c for i, c in got.items()) >= 0.95 * len(rows)
+    assert simhash.keep_first(frame(spark, rows)).count() <= 45
+
+
+def test_large_group_of_near_copies(spark):
+    r = np.random.default_rng(10)
+    base = ["w%d" % k for k in range(400)]
+    rows = []
+    for c in range(60):
+        copy = list(base)
+        copy[int(r.integers(400))] = f"x{c}"
+        rows.append((c, " ".join(copy), "", ""))
+    assert {x["component_id"] for x in simhash.similar_groups(frame(spark, rows)).collect()} == {0}
