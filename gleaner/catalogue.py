@@ -389,6 +389,65 @@ def _(spark, sf):
     return table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("valid")).where("not valid")
 
 
+# Generated files: a GIF, a PNG without its end, a FLV, a WAV without data, an empty JPEG, an unknown type.
+GENERATED = [
+    ("gif", "474946383961040005000000003B"),
+    ("png", "89504E470D0A1A0A0000000D494844520000000300000002080600000000000000"),
+    ("flv", "464C56010500000009"),
+    ("wav", "52494646140000005741564500000000" + "00000000"),
+    ("jpg", ""),
+    ("custom", "64617461"),
+]
+
+
+@add("validate_generated", """select 'f' || doc_id || (['.gif', '.png', '.flv', '.wav', '.jpg', '.custom'])[(doc_id % 6 + 1)::int] as path, doc_id % 6 in (0, 2, 5) as valid,
+ (['gif', 'unknown', 'flv', 'unknown', 'unknown', 'unknown'])[(doc_id % 6 + 1)::int] as file_type, ([null, 'truncated', null, 'truncated', 'empty', null])[(doc_id % 6 + 1)::int] as error_type from documents""")
+def _(spark, sf):
+    from .functions.validate import validate_column
+
+    k = (F.col("doc_id") % 6 + 1).cast("int")
+    path = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(F.array(*[F.lit(e) for e, _ in GENERATED]), k))
+    rows = table(spark, sf, "documents").select(path.alias("path"), F.unhex(F.element_at(F.array(*[F.lit(h) for _, h in GENERATED]), k)).alias("content"))
+    return validate_column(rows).select("path", "valid", "file_type", F.col("error.type").alias("error_type"))
+
+
+@add("media_dates", """select doc_id, case when doc_id % 3 = 0 then 'holiday video' else 'Clip' end as title, case when doc_id % 3 = 1 then timestamp '2001-01-02' end as time, (['filename', 'mkv:DateUTC', 'mkv:Title'])[(doc_id % 3 + 1)::int] as source from documents""")
+def _(spark, sf):
+    """Titles and dates of generated containers: an AVI without facts, a Matroska file with title and date, one with a title alone."""
+    from .functions.media import avi, mkv
+
+    def sized(ident: str, body: str) -> str:
+        return ident + f"{(len(body) // 2) | 1 << 28:08X}" + body
+
+    title, date = sized("7BA9", b"Clip".hex()), sized("4461", (10**9 * 86400).to_bytes(8, "big").hex())
+    heads = [b"RIFF".hex(), sized("18538067", sized("1549A966", title + date)), sized("18538067", sized("1549A966", title))]
+    k = (F.col("doc_id") % 3 + 1).cast("int")
+    rows = table(spark, sf, "documents").select("doc_id", F.unhex(F.element_at(F.array(*[F.lit(h.upper()) for h in heads]), k)).alias("head"))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            got = [mkv(bytes(h)) if d % 3 else avi(bytes(h), "holiday-video.avi") for d, h in zip(pdf["doc_id"], pdf["head"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "title": [m["original_name"] for m in got], "time": [m["time"] for m in got], "source": [m["source"] for m in got]})
+
+    return rows.mapInPandas(run, "doc_id long, title string, time timestamp, source string")
+
+
+@add("detect_bytes", f"select doc_id, case class when 'other extension' then 'unknown' else class end as type from (select doc_id, {_pattern('t')} as class from (select doc_id, {_LITERALS} as t from documents))")
+def _(spark, sf):
+    """Both detection stages over bytes, with the JSON test."""
+    t = F.element_at(F.array(*[F.lit(x) for x in SYNTH]), (F.col("doc_id") % 14 + 1).cast("int"))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "type": [detect.detect_bytes("f", bytes(h)) for h in pdf["head"]]})
+
+    return table(spark, sf, "documents").select("doc_id", F.encode(t, "UTF-8").alias("head")).mapInPandas(run, "doc_id long, type string")
+
+
 # ---- renaming ---------------------------------------------------------------------------
 
 def contexts(spark, sf):

@@ -334,6 +334,37 @@ def validate_file(path: str) -> dict:
         return row | {"error": {"type": "read_error", "message": str(e)[:200], "offset": -1}}
 
 
+def validate_bytes(name: str, data: bytes) -> dict:
+    """As validate_file(), of bytes that lie in a table."""
+    import io
+
+    row = {"path": name, "valid": False, "error": None, "file_type": "unknown", "details": {}}
+    try:
+        if not data:
+            raise Bad("empty", "no bytes", 0)
+        check = for_extension(os.path.splitext(name)[1])
+        if not check:
+            return row | {"valid": True, "details": {"note": "no check for this type"}}
+        kind, details = check(View(io.BytesIO(data), len(data)))
+        return row | {"valid": True, "file_type": kind, "details": {k: str(x) for k, x in details.items()}}
+    except Bad as e:
+        return row | {"error": {"type": e.kind, "message": e.message, "offset": e.offset}}
+    except (struct.error, IndexError) as e:
+        return row | {"error": {"type": "read_error", "message": str(e)[:200], "offset": -1}}
+
+
+def validate_column(rows: DataFrame) -> DataFrame:
+    """VALIDATION rows of (path, content)."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame([validate_bytes(p, bytes(c or b"")) for p, c in zip(pdf["path"], pdf["content"])], columns=["path", "valid", "error", "file_type", "details"])
+
+    return rows.select("path", "content").mapInPandas(run, VALIDATION)
+
+
 def validate(files: DataFrame) -> DataFrame:
     """VALIDATION rows of a path column: one pass of range reads."""
 
