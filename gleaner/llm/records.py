@@ -22,7 +22,6 @@ import gc
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ from . import common
 MASK_DELTA = 0xA282EAD8
 INDEX = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u8")])
 #: Words, and runs, kept with their ids in each Python worker, and the longest word that is kept.
-KEPT_WORDS, KEPT_RUNS, KEPT_CHARS = 300_000, 700_000, 48
+KEPT_WORDS, KEPT_RUNS, KEPT_CHARS = 600_000, 600_000, 48
 #: Runs of a word; below this character there are no marks that compose with a letter before them.
 RUNS, PLAIN_BELOW = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), "\u0100"
 
@@ -93,30 +92,60 @@ def tokenizer(path: str):
         t = Tokenizer.from_file(path)
         t.no_padding()
         t.no_truncation()
-        _tokenizers[path] = (t, ({}, {}), 2 if t.get_vocab_size() <= 1 << 16 else 4)
+        vocab = t.get_vocab()
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        _tokenizers[path] = (t, ({}, {}), 2 if len(ends) <= 1 << 16 else 4, ends)
     return _tokenizers[path]
 
 
-def encoded(texts: list[str], path: str) -> list[bytes]:
+def encode_runs(runs: list[str], path: str) -> list[bytes]:
+    """Ids of each run.  Runs are given to the library a thousand in a text, blanks between; a
+    run's last token carries the end-of-word mark, by which the ids are told apart."""
+    t, _, width, ends = tokenizer(path)
+    out: list[bytes] = []
+    for at in range(0, len(runs), 1000):
+        part = runs[at : at + 1000]
+        ids = np.array(t.encode(" ".join(part), add_special_tokens=False).ids, f"<u{width}")
+        cut = (np.flatnonzero(ends[ids]) + 1) * width
+        if len(cut) == len(part):
+            data = ids.tobytes()
+            out += [data[i:j] for i, j in zip([0, *cut[:-1].tolist()], cut.tolist())]
+        else:  # a run of several words or none
+            out += [np.array(e.ids, f"<u{width}").tobytes() for e in t.encode_batch_fast(part, add_special_tokens=False)]
+    return out
+
+
+def encoded(texts: list[str | bytes | None], path: str) -> list[bytes]:
     """Little-endian ids of each text.  This tokenizer lowers case, drops white space and joins
     nothing across it or between letters and other signs; so blanks part a text into words, words
     met before are looked up, new ones are parted into runs of letters, digits and signs, and the
     library encodes the runs not met before."""
-    t, (kept, runs), width = tokenizer(path)
-    code = "H" if width == 2 else "I"
-    lowered = [x if not x or "<|" in x else x.encode().lower().decode() for x in texts]  # of bytes: A-Z alone; "<|" may begin a special token
-    words = [(x or "").replace("\n", " ").split(" ") for x in lowered]
+    _, (kept, runs), _, _ = tokenizer(path)
+    data = [x.encode() if isinstance(x, str) else x or b"" for x in texts]
+    lowered = [x if b"<|" in x else x.lower() for x in data]  # of bytes: A-Z alone; "<|" may begin a special token
+    words = [x.replace(b"\n", b" ").split(b" ") for x in lowered]
     found = [list(map(kept.get, ws)) for ws in words]
     new = list({w for ws, got in zip(words, found) if None in got for w, g in zip(ws, got) if g is None})
-    parted = [RUNS.findall(w) if w and max(w) < PLAIN_BELOW and "'" not in w and "<" not in w else [w] for w in new]
+    parted: list[list[str]] = []
+    odd: set[str] = set()
+    for b in new:
+        w = b.decode()
+        if w and max(w) < PLAIN_BELOW and "'" not in w and "<" not in w:
+            parted.append(RUNS.findall(w))
+        else:
+            parted.append([w])
+            odd.add(w)
     fresh = list({r for rs in parted for r in rs if r not in runs})
-    for at in range(0, len(fresh), 20_000):
-        part = fresh[at : at + 20_000]
-        runs.update((r, array(code, e.ids).tobytes()) for r, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)))
+    plain = [r for r in fresh if r not in odd]
+    runs.update(zip(plain, encode_runs(plain, path)))
+    t, width = tokenizer(path)[0], tokenizer(path)[2]
+    rest = [r for r in fresh if r in odd]
+    runs.update((r, np.array(e.ids, f"<u{width}").tobytes()) for r, e in zip(rest, t.encode_batch_fast(rest, add_special_tokens=False)))
     whole = {w: runs[rs[0]] if len(rs) == 1 else b"".join([runs[r] for r in rs]) for w, rs in zip(new, parted)}
     out = [b"".join(got) if None not in got else b"".join([whole[w] if g is None else g for w, g in zip(ws, got)]) for ws, got in zip(words, found)]
-    for w in fresh[max(0, KEPT_RUNS - (len(runs) - len(fresh))) :]:
-        del runs[w]
+    for r in fresh[max(0, KEPT_RUNS - (len(runs) - len(fresh))) :]:
+        del runs[r]
     for w in new[: max(0, KEPT_WORDS - len(kept))]:
         if len(w) <= KEPT_CHARS:
             kept[w] = whole[w]
@@ -139,15 +168,15 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int])
 
     def run(batches):
         cut = np.array(bounds, np.int64)
-        t, _, width = tokenizer(tokenizer_path)
+        t, _, width, _ = tokenizer(tokenizer_path)
         end = np.array([end_id], f"<u{width}").tobytes()
         gc.freeze()  # the kept words need no walks
         for whole in batches:
             for b in common.slices(whole):
-                texts = b.column("text").to_pylist()
                 if by_word:
-                    ids = [x + end for x in encoded(texts, tokenizer_path)]
+                    ids = [x + end for x in encoded(common.utf8(b.column("text")), tokenizer_path)]
                 else:
+                    texts = b.column("text").to_pylist()
                     ids = [np.array(e.ids, f"<u{width}").tobytes() + end for e in t.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
                 crc = np.array([zlib.crc32(x) for x in ids], np.int64)
                 key = np.array([-(1 << 63) if x is None else x for x in b.column("doc_id").to_pylist()], np.int64)
