@@ -49,22 +49,23 @@ def linear(turns: DataFrame) -> DataFrame:
 
 def paths(messages: DataFrame) -> DataFrame:
     """(conv_id, leaf, id, up): every message of every root-to-leaf path, `up` steps above its leaf."""
-    spark = messages.sparkSession
     ids = messages.select("conv_id", "id")
     links = messages.where("parent is not null").select("conv_id", "id", F.col("parent").alias("to"))
     links = links.join(ids.select("conv_id", F.col("id").alias("to")), ["conv_id", "to"], "left_semi")
-    start = links = common.written(links.select("conv_id", "id", "to"), "links")
+    links = common.written(links.select("conv_id", "id", "to"), "links")
     leaves = ids.join(links.select("conv_id", F.col("to").alias("id")), ["conv_id", "id"], "left_anti")
-    got = leaves.select("conv_id", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up"))
-    step = 1
+    got = common.written(leaves.select("conv_id", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up")), "paths")
+    step, most = 1, ids.count()
     while not links.isEmpty():
+        before, last = got, links
         got = common.written(got.unionByName(got.join(links, ["conv_id", "id"]).select("conv_id", "leaf", F.col("to").alias("id"), (F.col("up") + step).alias("up"))), "paths")
         onward = links.select("conv_id", F.col("id").alias("from"), F.col("to").alias("id")).join(links, ["conv_id", "id"])
         links = common.written(onward.select("conv_id", F.col("from").alias("id"), "to"), "links")
+        common.dropped(before)
+        common.dropped(last)
         step *= 2
-        if step > 1 << 40:  # messages on a cycle never end; no leaf reaches them
+        if step > most:  # only messages on a cycle go on so long, and no leaf reaches them
             break
-    del start, spark
     return got
 
 

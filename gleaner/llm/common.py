@@ -36,14 +36,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def dropped(df: DataFrame) -> None:
+    """Deletes the table of a frame from written() that nothing reads any more."""
+    spark, path = df.sparkSession, getattr(df, "_scratch", None)
+    if path:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -179,3 +179,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+ORACLES["op2_suffix"] = """
+with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
+w as (select doc_id, k, array_slice(b, k + 1, k + 50) as g from (select doc_id, b, unnest(range(0, n - 49)) as k from d where n >= 50)),
+m as (select g, min(doc_id) as m from w group by g having min(doc_id) < max(doc_id)),
+hit as (select w.doc_id, w.k from w join m using (g) where m.m < w.doc_id),
+cut as (select doc_id, k, case when k <= lag(k) over (partition by doc_id order by k) + 50 then 0 else 1 end as fresh from hit),
+span as (select doc_id, min(k) as a, max(k) + 50 as e from (select doc_id, k, sum(fresh) over (partition by doc_id order by k) as s from cut) group by doc_id, s),
+gap as (
+  select doc_id, coalesce(lag(e) over (partition by doc_id order by a), 0) as a, a as e from span
+  union all select doc_id, max(e), any_value(n) from span join d using (doc_id) group by doc_id),
+kept as (select doc_id, string_agg(hex(array_slice(b, gap.a + 1, gap.e)), '' order by gap.a) as h from gap join d using (doc_id) group by doc_id),
+r as (select doc_id, sum(e - a)::bigint as n_removed, count(*)::bigint as n_spans from span group by doc_id)
+select d.doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(case when h is null then b else unhex(h) end) as kept_sha256
+from d left join r using (doc_id) left join kept using (doc_id)
+"""

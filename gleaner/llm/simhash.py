@@ -219,6 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
         j = star.join(low, "u")
         fresh = common.written(j.select(F.col("v").alias("u"), F.col("m").alias("v")).union(j.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         same = fresh.count() == edges.count() and fresh.exceptAll(edges).isEmpty()
+        common.dropped(edges)
         edges = fresh
         if same:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
@@ -327,4 +328,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
 def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of one document, that of the smallest doc_id, of each group of similar texts."""
     kept = similar_groups(docs, words, least).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    # Rows that repeat an id are copies if their texts are equal; where no id repeats, texts need not be compared.
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
