@@ -290,10 +290,12 @@ def similar_links(nodes: DataFrame, least: float) -> DataFrame:
 
     rows = nodes.mapInArrow(keys, "key long, node long")
     w = Window.partitionBy("key")
-    ranked = rows.select("key", "node", F.row_number().over(w.orderBy("node")).alias("rn"), F.count("*").over(w).alias("n")).where("n > 1")
+    ranked = rows.select("key", "node", F.row_number().over(w.orderBy("node")).alias("rn"), F.count("*").over(w).alias("n"), F.min("node").over(w).alias("least")).where("n > 1")
     ranked = common.written(ranked, "wide-keys")
-    first = ranked.where(f"rn = 1 or n <= {ALL_PAIRS}").select("key", F.col("node").alias("a"), F.col("rn").alias("ra"))
-    pairs = ranked.join(first, "key").where("ra < rn").select("a", F.col("node").alias("b")).distinct()
+    few = ranked.where(f"n <= {ALL_PAIRS}")
+    first = few.select("key", F.col("node").alias("a"), F.col("rn").alias("ra"))
+    pairs = few.join(first, "key").where("ra < rn").select("a", F.col("node").alias("b"))
+    pairs = pairs.union(ranked.where(f"n > {ALL_PAIRS} and rn > 1").select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
     prints = lambda x: nodes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}"))
 
     def verify(batches):
