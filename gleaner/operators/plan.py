@@ -64,15 +64,24 @@ def operations(files: DataFrame, o: MoveOptions, ord_: str = "ord") -> DataFrame
 
 
 def renamed(rows: DataFrame) -> DataFrame:
-    """Conflicts renamed in order of ord, dodging names that occur by themselves before."""
-    folder = paths.dirname(F.col("destination"))
-    rows = rows.withColumn("folder", folder)
-    clashing = rows.groupBy("folder", "destination").agg(F.count("*").alias("n")).where("n > 1").select("folder").distinct()
-    plain = rows.join(clashing, "folder", "left_anti").withColumn("conflict", F.lit(False))
-    hard = rows.join(clashing, "folder", "left_semi")
-    # A base name and the names made from it clash with nothing else: fold by (folder, first part of the name, extension).
-    stem = F.regexp_replace(paths.stem(F.col("destination")), r"(_\d{3,})+$", "")
-    hard = hard.withColumn("family", F.concat(stem, F.lit("\0"), paths.extension(F.col("destination"))))
+    """Conflicts renamed in order of ord, dodging names that occur by themselves before.
+
+    A family is a folder, a name without trailing numbers, and an extension; names made from one
+    family clash with nothing else.  Where a family has one destination, numbers follow from the
+    rank alone; the sequential fold runs only where natural names could be in the way.
+    """
+    dest = F.col("destination")
+    stem = F.regexp_replace(paths.stem(dest), r"(_\d{3,})+$", "")
+    rows = rows.withColumn("family", F.concat_ws("\0", paths.dirname(dest), stem, paths.extension(dest)))
+    families = rows.groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("destination").alias("names"))
+    fold_ = families.where("names > 1 and n > names").select("family")
+    rank = F.row_number().over(Window.partitionBy("destination").orderBy("ord"))
+    easy = rows.join(fold_, "family", "left_anti").drop("family").withColumn("k", rank)
+    base, ext = paths.stem(dest), paths.extension(dest)
+    head = F.substring(dest, F.lit(1), F.length(dest) - F.length(base) - F.length(ext))
+    number = F.when(F.col("k") > 1000, (F.col("k") - 1).cast("string")).otherwise(F.lpad((F.col("k") - 1).cast("string"), 3, "0"))
+    plain = easy.withColumn("conflict", F.col("k") > 1).withColumn("destination", F.when(F.col("k") > 1, F.concat(head, base, F.lit("_"), number, ext)).otherwise(dest)).drop("k")
+    hard = rows.join(fold_, "family", "left_semi")
     columns = hard.drop("family").columns
     schema = hard.select(*columns, F.lit(False).alias("conflict")).schema
 
@@ -94,8 +103,8 @@ def renamed(rows: DataFrame) -> DataFrame:
             out.append(name)
         return pdf.assign(destination=out, conflict=hit)[[*columns, "conflict"]]
 
-    folded = hard.groupBy("folder", "family").applyInPandas(fold, schema)
-    return plain.unionByName(folded).drop("folder").withColumn("status", F.lit("pending"))
+    folded = hard.groupBy("family").applyInPandas(fold, schema)
+    return plain.unionByName(folded).withColumn("status", F.lit("pending"))
 
 
 def counters(ops: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ def applied(rows: DataFrame, template: str, by_segment: bool = False, name: str
 def resolved(rows: DataFrame, how: Conflict, now: str = "000000_000") -> DataFrame:
     """new_name, action and conflict of rows (ord, target_dir, name, ext, hash), in order of ord.
 
-    Rows that no other name can touch are settled by a window; the fold runs over the folders
-    where names repeat.
+    A window numbers names that only their own repeats can touch; the sequential fold runs over
+    families of names where others could be in the way.
     """
     full = F.concat("name", "ext")
     rows = rows.withColumn("_full", full)
@@ -42,9 +42,20 @@ def resolved(rows: DataFrame, how: Conflict, now: str = "000000_000") -> DataFra
         rn = F.row_number().over(Window.partitionBy("target_dir", "_full").orderBy("ord"))
         clash = rn > 1
         return rows.withColumn("conflict", clash).withColumn("new_name", F.col("_full")).withColumn("action", F.when(clash, how.value).otherwise("none")).drop("_full")
-    repeated = rows.groupBy("target_dir", "_full").agg(F.count("*").alias("n")).where("n > 1").select("target_dir").distinct()
-    easy = rows.join(repeated, "target_dir", "left_anti").select(*rows.columns, F.col("_full").alias("new_name"), F.lit("none").alias("action"), F.lit(False).alias("conflict"))
-    hard = rows.join(repeated, "target_dir", "left_semi")
+    # Names that can touch each other: for numbers, those that differ in trailing numbers alone; else all of a folder.
+    stem = F.regexp_replace("name", r"(_\d{4,})+$", "") if how == Conflict.INCREMENT else F.lit("")
+    ext = F.col("ext") if how == Conflict.INCREMENT else F.lit("")
+    rows = rows.withColumn("_family", F.concat_ws("\0", "target_dir", stem, ext))
+    families = rows.groupBy("_family").agg(F.count("*").alias("n"), F.countDistinct("_full").alias("names"))
+    alone = F.col("names") == 1 if how == Conflict.INCREMENT else F.lit(False)
+    hard_families = families.where((F.col("n") > F.col("names")) & ~alone).select("_family")
+    k = F.row_number().over(Window.partitionBy("target_dir", "_full").orderBy("ord"))
+    easy = rows.join(hard_families, "_family", "left_anti").withColumn("k", k)
+    number = F.when(F.col("k") > 9999, F.col("k").cast("string")).otherwise(F.lpad(F.col("k").cast("string"), 4, "0"))
+    own = [c for c in rows.columns if c not in ("_full", "_family")]
+    clash = F.col("k") > 1
+    easy = easy.select(*own, F.when(clash, F.concat("name", F.lit("_"), number, "ext")).otherwise(F.col("_full")).alias("new_name"), F.when(clash, "rename").otherwise("none").alias("action"), clash.alias("conflict"))
+    hard = rows.join(hard_families, "_family", "left_semi").drop("_full")
     schema = easy.schema
 
     def fold(pdf):
@@ -75,7 +86,7 @@ def resolved(rows: DataFrame, how: Conflict, now: str = "000000_000") -> DataFra
         pdf["action"] = ["rename" if c else "none" for c in pdf["conflict"]]
         return pdf[schema.names]
 
-    return easy.unionByName(hard.groupBy("target_dir").applyInPandas(fold, schema)).drop("_full")
+    return easy.unionByName(hard.groupBy("_family").applyInPandas(fold, schema))
 
 
 def conflict_stats(done: DataFrame) -> DataFrame:
