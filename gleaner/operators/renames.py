@@ -6,9 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Conflict
+from ..functions import dates, paths
 from ..functions.templates import Template, sanitized
 
 
+def contexts(results: DataFrame) -> DataFrame:
+    """What templates read, from RESULT rows with ord: names, dates (EXIF, then metadata), camera, category, hash (full, then quick)."""
+    i, m = F.col("image_exif"), F.col("additional_info")
+    return results.select(
+        "ord",
+        F.coalesce(dates.exif_date(i["Exif"]["date_taken"]), F.when(m["valid"], m["time"])).alias("date"),
+        i["Exif"]["camera_model"].alias("camera"),
+        paths.stem(F.col("path")).alias("original"),
+        F.regexp_replace(paths.extension(F.col("path")), r"^\.", "").alias("ext"),
+        "type",
+        F.substring_index("target_path", "/", 2).alias("category"),
+        F.coalesce(F.nullif("full_hash", F.lit("")), F.col("quick_hash")).alias("hash"),
+        "size",
+        i["Width"].alias("width"),
+        i["Height"].alias("height"),
+    )
+
+
 def sequenced(rows: DataFrame, key: str, group: str | None = None, name: str = "seq") -> DataFrame:
     """1-based numbers in order of key, over all rows or in each group.
 

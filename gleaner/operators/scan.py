@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..functions.media import file_meta, image
 from ..functions.validate import validate
 from ..schema import META
 from ..sources.files import files, read_range
+from ..streaming.incremental import scratch
 from .classify import classify, is_asset, is_thumbnail
 from .dedup import repeated
 
@@ -101,29 +103,48 @@ def scan_counts(spark: SparkSession, root: str) -> DataFrame:
     return facts(files(spark, root), ScanOptions()).groupBy("type").agg(F.count("*").alias("files"))
 
 
+def unchanged(path: str, size: int, micros) -> bool:
+    """Whether a file still has the size and time it was scanned with."""
+    s = os.stat(path)
+    return s.st_size == size and micros is not None and abs(s.st_mtime_ns // 1000 - micros) <= 1
+
+
 def staged_hashes(found: DataFrame, min_size: int = 0) -> DataFrame:
     """path, size, full_hash of files that may have a duplicate: sizes first, then quick hashes, then whole files.
 
-    Rows that carry a quick_hash of an unchanged file (size and mtime as scanned) keep it."""
-    same_size = repeated(found.where(F.col("size") >= min_size), "size")
-
-    def hashed(column, function):
-        def run(batches):
-            import pandas as pd
-
-            for pdf in batches:
-                out = []
-                for r in pdf.itertuples(index=False):
-                    try:
-                        out.append(getattr(r, "quick_hash", None) or function(r.path) if column == "quick_hash" else function(r.path))
-                    except OSError:
-                        out.append(None)
-                yield pd.DataFrame({"path": pdf["path"], "size": pdf["size"], column: out})
-
-        return run
-
-    known = [c for c in ("quick_hash",) if c in found.columns]
-    quick = same_size.select("path", "size", *known).mapInPandas(hashed("quick_hash", quick_hash), "path string, size long, quick_hash string").where("quick_hash is not null")
-    quick = quick.persist()
-    cand = repeated(quick, "size", "quick_hash")
-    return cand.select("path", "size").mapInPandas(hashed("full_hash", full_hash), "path string, size long, full_hash string").where("full_hash is not null")
+    Rows that carry a quick_hash and mtime keep the hash if the file is unchanged; small files' quick hash is their full one.
+    """
+    known = F.col("quick_hash") if "quick_hash" in found.columns else F.lit(None).cast("string")
+    micros = F.unix_micros("mtime") if "mtime" in found.columns else F.lit(None).cast("long")
+    same_size = repeated(found.where(F.col("size") >= min_size).select("path", "size", known.alias("known"), micros.alias("micros")), "size")
+
+    def quick(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for p, size, have, at in zip(pdf["path"], pdf["size"], pdf["known"], pdf["micros"]):
+                try:
+                    out.append(have if have and not pd.isna(at) and unchanged(p, int(size), int(at)) else quick_hash(p))
+                except OSError:
+                    out.append(None)
+            yield pd.DataFrame({"path": pdf["path"], "size": pdf["size"], "quick_hash": out})
+
+    def whole(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for p, size, have in zip(pdf["path"], pdf["size"], pdf["quick_hash"]):
+                try:
+                    out.append(have if size <= SMALL else full_hash(p))
+                except OSError:
+                    out.append(None)
+            yield pd.DataFrame({"path": pdf["path"], "size": pdf["size"], "full_hash": out})
+
+    # Written, not cached: a later call over the same rows must look at the files again.
+    path = f"{scratch(found.sparkSession)}/quick-{uuid.uuid4().hex}"
+    same_size.mapInPandas(quick, "path string, size long, quick_hash string").where("quick_hash is not null").write.parquet(path)
+    hashed = found.sparkSession.read.parquet(path)
+    cand = repeated(hashed, "size", "quick_hash")
+    return cand.select("path", "size", "quick_hash").mapInPandas(whole, "path string, size long, full_hash string").where("full_hash is not null")

@@ -173,3 +173,21 @@ def test_command_line(spark, tree, tmp_path, capsys):
     assert json.loads((tmp_path / "d.json").read_text())["duplicate_groups"] == 2
     assert cli.main(["-s", tree, "-e", out, "-M", str(tmp_path / "dest"), "--run"]) == 0
     assert "succeeded 7" in capsys.readouterr().out
+
+
+def test_quick_hash_is_kept_only_for_unchanged_files(spark, tree):
+    rows = scan.scan(spark, tree, ScanOptions(hash=True)).select("path", "size", "mtime", "quick_hash").persist()
+    assert rows.count() == 7
+    assert dedup.duplicate_groups(scan.staged_hashes(rows)).count() == 2
+    with open(f"{tree}/a.txt", "wb") as f:
+        f.write(b"HASH ME")
+    os.utime(f"{tree}/a.txt", (1, 1))
+    assert dedup.duplicate_groups(scan.staged_hashes(rows)).count() == 1
+
+
+def test_rename_contexts(spark, tree):
+    rows = scan.scan(spark, tree, ScanOptions(hash=True)).withColumn("ord", F.hash("path"))
+    c = renames.sequenced(renames.contexts(rows), "ord")
+    names = {r["new_name"] for r in renames.applied(c, "{original}_{hash:4}.{ext}").collect()}
+    sha = hashlib.sha256(b"hash me").hexdigest()[:4]
+    assert f"a_{sha}.txt" in names and len({r["seq"] for r in c.collect()}) == 7
