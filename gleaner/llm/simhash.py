@@ -266,13 +266,27 @@ def similarity(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np
     return np.where(n + m > 0, both / np.maximum(n + m - both, 1e-9), 1.0)
 
 
+def met(rows: DataFrame, apart: bool = False) -> DataFrame:
+    """(a, b) pairs of nodes, a the smaller, that share a key; rows are (key, node, n), n the nodes of the key.
+
+    Keys of more than BLOCK nodes are dealt out as pairs of blocks.  With apart, rows have a label
+    too and pairs of one label are left out.
+    """
+    f = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.hash("node"), f)).withColumn("other", F.explode(F.sequence(F.lit(0), f - 1)))
+    side = lambda x, i, j: dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.col("node").alias(x), *([F.col("label").alias(f"label_{x}")] if apart else []))
+    pairs = side("a", "own", "other").join(side("b", "other", "own"), ["key", "i", "j"]).where("a < b")
+    return (pairs.where("label_a <> label_b") if apart else pairs).select("a", "b")
+
+
 def similar_links(nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b) edges between nodes (node, fp, n) whose sets are similar.
+    """(a, b) edges that connect nodes (node, fp, n) whose sets are similar and that share a key.
 
     Keys are pairs of neighbouring segments' codeword indices: 175 keys of 24 bits, of which texts
     of similarity 0.8 share one or more in about nineteen of twenty cases, and closer ones nearly
-    always.  A key of up to ALL_PAIRS nodes compares them all; in a larger one each is compared
-    with the smallest, so that pairs grow with the rows and not with the square of a group.
+    always.  A key of up to ALL_PAIRS nodes compares them all.  In a larger one each is first compared
+    with the smallest, which makes one component of most copies of a text; then all of its pairs
+    that are not in one component yet are compared.
     """
 
     def keys(batches):
@@ -290,12 +304,8 @@ def similar_links(nodes: DataFrame, least: float) -> DataFrame:
 
     rows = nodes.mapInArrow(keys, "key long, node long")
     w = Window.partitionBy("key")
-    ranked = rows.select("key", "node", F.row_number().over(w.orderBy("node")).alias("rn"), F.count("*").over(w).alias("n"), F.min("node").over(w).alias("least")).where("n > 1")
-    ranked = common.written(ranked, "wide-keys")
-    few = ranked.where(f"n <= {ALL_PAIRS}")
-    first = few.select("key", F.col("node").alias("a"), F.col("rn").alias("ra"))
-    pairs = few.join(first, "key").where("ra < rn").select("a", F.col("node").alias("b"))
-    pairs = pairs.union(ranked.where(f"n > {ALL_PAIRS} and rn > 1").select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
+    shared = rows.select("key", "node", F.count("*").over(w).alias("n"), F.min("node").over(w).alias("least")).where("n > 1")
+    shared = common.written(shared, "wide-keys")
     prints = lambda x: nodes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}"))
 
     def verify(batches):
@@ -306,7 +316,16 @@ def similar_links(nodes: DataFrame, least: float) -> DataFrame:
                 ok = pa.array(similarity(x, y, n, m) >= least)
                 yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok)], ["a", "b"])
 
-    return pairs.join(prints("a"), "a").join(prints("b"), "b").mapInArrow(verify, "a long, b long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        return common.written(pairs.join(prints("a"), "a").join(prints("b"), "b").mapInArrow(verify, "a long, b long"), "wide-links")
+
+    few, crowded = shared.where(f"n <= {ALL_PAIRS}"), shared.where(f"n > {ALL_PAIRS}")
+    edges = verified(met(few).union(crowded.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct())
+    if crowded.isEmpty():
+        return edges
+    named = crowded.join(components(edges), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    named = named.withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w)).where("low < high")
+    return edges.union(verified(met(named, apart=True).distinct()))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from gleaner.llm import decontaminate, labelled, quality, queries
+from gleaner.llm import decontaminate, labelled, quality, queries, simhash
 from tests.conftest import DATA
 from tests.llm.test_text_operators import SMALL, brute_repeats
 
@@ -89,3 +89,28 @@ def test_encoding(spark, docs):
     t = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
     for r in stage("encoding")(spark, docs, SMALL).collect():
         assert r["ids"] == t.encode(r["text"], add_special_tokens=False).ids and r["decoded"] == r["text"]
+
+
+def jaccard(x, y):
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (x.split(), y.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_copies_in_a_crowded_source(spark):
+    """Documents of one template share most shingles; each has a closer copy of its own."""
+    r = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 1 << 40, n)]
+    template, texts = word(320), []
+    for _ in range(3000):
+        body = template + word(80)
+        texts.append(" ".join(body))
+        copy = list(body)
+        for place in (330, 341, 352, 363, 374):
+            copy[place] = "changed"
+        texts.append(" ".join(copy))
+    assert jaccard(texts[0], texts[2]) < 0.7 and 0.87 < jaccard(texts[0], texts[1]) < 0.89
+    order = r.permutation(len(texts)).tolist()
+    rows = [(order[k], x) for k, x in enumerate(texts)]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = sum(got[order[k]] != min(order[k], order[k ^ 1]) for k in range(len(texts)))
+    assert wrong <= 0.005 * len(texts)  # what the keys and the estimate lose
