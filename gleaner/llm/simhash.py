@@ -15,9 +15,9 @@ Equal fingerprints are one node from the start, so that copies never meet as pai
 a key, members are compared in blocks with a union-find, and only the edges of a spanning
 forest leave the task.  Keys with more than BLOCK members are dealt out as pairs of blocks.
 
-Similarity of shingle sets (similar_groups) asks for more than three bits: there a text has
-thirty-two fingerprints, whose segments' codeword indices are joined in neighbouring pairs, and
-the share of differing bits over all is the check.
+Similarity of shingle sets (similar_groups) asks for more than three bits: there the sets
+themselves are joined.  In one order of all shingles, the frequent ones last, two similar sets
+share one of the first few of each (a prefix), and sets that do are compared.
 
 Defined results: null and empty texts have no shingles and the fingerprint zero, linked like
 any other; fewer words than a shingle make one shingle; a null doc_id takes part and is
@@ -28,12 +28,14 @@ empty table gives no rows.
 from __future__ import annotations
 
 import functools
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -240,10 +242,34 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, most: int =
 
 # ---- similarity of shingle sets ---------------------------------------------------------
 
-WIDE, WIDE_SEGMENTS, ALL_PAIRS = 32, 89, 8
+WIDE, ALL_PAIRS = 32, 8
+#: Rows whose shingles are counted to find the frequent ones, and how many of those are told to all tasks.  Any order gives the same links; this one makes few pairs.
+SAMPLED, FREQUENT = 20_000, 1 << 20
 _ODD = np.random.default_rng(64).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def shingles(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """The set of word shingles, as sorted 64-bit hashes."""
+    ws = text.lower().split()
+    if not ws:
+        return np.zeros(0, np.int64)
+    h64, k = xxhash.xxh64_intdigest, min(words, len(ws))
+    h = np.array([h64(w, seed) for w in ws], np.uint64)
+    n = len(ws) - k + 1
+    x = np.full(n, k, np.uint64)
+    for j in range(k):
+        x = (x ^ h[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return np.unique((x ^ x >> np.uint64(32)).view(np.int64))
+
+
+def set_name(found: np.ndarray, seed: int = 42) -> int:
+    """A signed 64-bit name of a set of shingles: texts of equal sets are one node."""
+    x = xxhash.xxh3_64_intdigest(found.tobytes(), seed)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def wide_fingerprint(text: bytes, words: int, seed: int = 42) -> tuple[bytes, int]:
     """WIDE 64-bit fingerprints of the set of word shingles, end to end, and the size of that set."""
     ws = text.lower().split()
@@ -266,47 +292,76 @@ def similarity(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np
     return np.where(n + m > 0, both / np.maximum(n + m - both, 1e-9), 1.0)
 
 
-def met(rows: DataFrame, apart: bool = False) -> DataFrame:
-    """(a, b) pairs of nodes, a the smaller, that share a key; rows are (key, node, n), n the nodes of the key.
+def prefixes(prints: DataFrame, ratio: Fraction) -> DataFrame:
+    """(key, node, n, place): the first shingles of each set, of which similar sets share one.
+
+    Of n shingles a similar set holds at least ratio * n, so that it lacks at most the rest, and
+    one more than those is enough.  place is where in the order of the set a shingle stands.
+    """
+
+    def flat(batches):
+        for whole in batches:
+            for b in common.slices(whole, "shingles"):
+                yield pa.RecordBatch.from_arrays([pa.array(common.packed(b.column("shingles"))[0].copy().view(np.int64))], ["key"])
+
+    part = max(1, prints.count() // SAMPLED)
+    counts = prints.where(F.pmod("node", F.lit(part)) == 0).select("shingles").mapInArrow(flat, "key long").groupBy("key").count()
+    counts = counts.where("count > 2").orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow().sort_by("key")
+    frequent = prints.sparkSession.sparkContext.broadcast((counts.column("key").to_numpy(), counts.column("count").to_numpy()))
+
+    def run(batches):
+        known, count = frequent.value
+        for whole in batches:
+            for b in common.slices(whole, "shingles"):
+                data, at = common.packed(b.column("shingles"))
+                h, at = data.copy().view(np.int64), at // 8
+                n = np.diff(at)
+                row = np.repeat(np.arange(len(n)), n)
+                seen = np.zeros(len(h), np.int64)
+                if len(known):
+                    k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    seen = np.where(known[k] == h, count[k], 0)
+                order = np.argsort(row << 40 | seen, kind="stable")
+                place = np.arange(len(h)) - at[:-1][row]
+                ok = place < (n + 1 - -(-n * ratio.numerator // ratio.denominator))[row]
+                row = row[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(h[order[ok]]), pa.array(b.column("node").to_numpy()[row]), pa.array(n[row], pa.int32()), pa.array(place[ok], pa.int32())], ["key", "node", "n", "place"])
+
+    return prints.select("node", "shingles").mapInArrow(run, "key long, node long, n int, place int")
+
+
+def met(rows: DataFrame, ratio: Fraction, apart: bool = False) -> DataFrame:
+    """(a, b) pairs of nodes, a the smaller, that share a key and may be similar; rows have the number of the key's nodes as crowd.
 
     Keys of more than BLOCK nodes are dealt out as pairs of blocks.  With apart, rows have a label
     too and pairs of one label are left out.
     """
-    f = F.ceil(F.col("n") / BLOCK).cast("int")
+    f = F.ceil(F.col("crowd") / BLOCK).cast("int")
     dealt = rows.withColumn("own", F.pmod(F.hash("node"), f)).withColumn("other", F.explode(F.sequence(F.lit(0), f - 1)))
-    side = lambda x, i, j: dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.col("node").alias(x), *([F.col("label").alias(f"label_{x}")] if apart else []))
-    pairs = side("a", "own", "other").join(side("b", "other", "own"), ["key", "i", "j"]).where("a < b")
-    return (pairs.where("label_a <> label_b") if apart else pairs).select("a", "b")
+    label = ["label"] if apart else []
+    side = lambda x, i, j: dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.struct("node", "n", "place", *label).alias(x))
+    pairs = side("a", "own", "other").join(side("b", "other", "own"), ["key", "i", "j"]).where("a.node < b.node")
+    return (pairs.where("a.label <> b.label") if apart else pairs).where(may_be(ratio)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
-def similar_links(nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b) edges that connect nodes (node, fp, n) whose sets are similar and that share a key.
+def may_be(ratio: Fraction) -> Column:
+    """Whether sets a and b (n, place) can be similar if their first common shingle stands at those places: they share no more than what is left of each."""
+    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    return left * (ratio.numerator + ratio.denominator) >= (F.col("a.n") + F.col("b.n")) * ratio.numerator
 
-    Keys are pairs of neighbouring segments' codeword indices: 175 keys of 24 bits, of which texts
-    of similarity 0.8 share one or more in about nineteen of twenty cases, and closer ones nearly
-    always.  A key of up to ALL_PAIRS nodes compares them all.  In a larger one each is first compared
-    with the smallest, which makes one component of most copies of a text; then all of its pairs
-    that are not in one component yet are compared.
-    """
 
-    def keys(batches):
-        weights = 1 << np.arange(23)
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                data, _ = common.packed(part.column("fp"))
-                bits = np.unpackbits(data.reshape(part.num_rows, -1), axis=1)[:, : 23 * WIDE_SEGMENTS].reshape(part.num_rows, WIDE_SEGMENTS, 23)
-                index = golay_index()[bits @ weights].astype(np.int64)
-                pairs = [index[:, :-g] << 12 | index[:, g:] for g in (1, 2)]
-                key = np.concatenate(pairs, axis=1)
-                key |= np.arange(key.shape[1]) << 24
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part.column("node").to_numpy(), key.shape[1]))], ["key", "node"])
-
-    rows = nodes.mapInArrow(keys, "key long, node long")
+def similar_links(prints: DataFrame, least: float) -> DataFrame:
+    """(a, b) edges that connect all nodes whose sets are similar; rows (node, n, shingles) may repeat.
+
+    Keys are the shingles of prefixes.  A key of up to ALL_PAIRS nodes compares them all.  In a larger
+    one each is first compared with the smallest, which makes one component of most copies of a
+    text; then all of its pairs that are not in one component yet are compared.
+    """
+    ratio = Fraction(least).limit_denominator(1000)
     w = Window.partitionBy("key")
-    shared = rows.select("key", "node", F.count("*").over(w).alias("n"), F.min("node").over(w).alias("least")).where("n > 1")
-    shared = common.written(shared, "wide-keys")
-    prints = lambda x: nodes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}"))
+    rows = prefixes(prints, ratio).repartition(common.partitions(prints.sparkSession), "key").distinct()
+    shared = rows.withColumn("crowd", F.count("*").over(w)).withColumn("least", F.min(F.struct("node", "n", "place")).over(w)).where("crowd > 1")
+    shared = common.written(shared, "prefixes")
 
     def verify(batches):
         for t in batches:
@@ -317,39 +372,60 @@ def similar_links(nodes: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok)], ["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return common.written(pairs.join(prints("a"), "a").join(prints("b"), "b").mapInArrow(verify, "a long, b long"), "wide-links")
-
-    few, crowded = shared.where(f"n <= {ALL_PAIRS}"), shared.where(f"n > {ALL_PAIRS}")
-    edges = verified(met(few).union(crowded.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct())
+        pairs = common.written(pairs.distinct(), "pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = common.written(prints.select("node", "n", "fp").join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        end = lambda x: sets.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}"))
+        return common.written(pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(verify, "a long, b long"), "similar")
+
+    few, crowded = shared.where(f"crowd <= {ALL_PAIRS}"), shared.where(f"crowd > {ALL_PAIRS}")
+    first = crowded.where("node > least.node").select(F.col("least").alias("a"), F.struct("node", "n", "place").alias("b")).where(may_be(ratio))
+    edges = verified(met(few, ratio).union(first.select("a.node", "b.node")))
     if crowded.isEmpty():
         return edges
-    named = crowded.join(components(edges), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    named = crowded.join(components(edges), "node", "left").select("key", "node", "n", "place", "crowd", F.coalesce("component", "node").alias("label"))
     named = named.withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w)).where("low < high")
-    return edges.union(verified(met(named, apart=True).distinct()))
+    return edges.union(verified(met(named, ratio, apart=True)))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id and component_id over links between texts whose shingle sets are similar."""
+def grouped(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """doc_id, node (the name of the text's set) and component_id, the smallest doc_id reachable over links."""
 
     def run(batches):
         for whole in batches:
             for b in common.slices(whole):
-                got = [wide_fingerprint(x, words) for x in common.utf8(b.column("text"))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), common.binaries([x for x, _ in got]), pa.array([n for _, n in got], pa.int32())], ["doc_id", "fp", "n"])
+                texts = common.utf8(b.column("text"))
+                got, wide = [shingles(x, words) for x in texts], [wide_fingerprint(x, words)[0] for x in texts]
+                columns = [pa.array([set_name(x) for x in got], pa.int64()), pa.array([len(x) for x in got], pa.int32()), common.binaries([x.tobytes() for x in got]), common.binaries(wide)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "node", "n", "shingles", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = common.written(rows.mapInArrow(run, "doc_id long, fp binary, n int"), "wide")
-    nodes = prints.groupBy("fp", "n").agg(F.min("doc_id").alias("node"))
-    nodes = common.written(nodes, "wide-nodes")
-    found = components(similar_links(nodes.where("node is not null"), least))
-    comp = nodes.join(found, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(comp, ["fp", "n"]).select("doc_id", "component_id")
+    prints = common.written(rows.mapInArrow(run, "doc_id long, node long, n int, shingles binary, fp binary"), "shingles")
+    found = components(similar_links(prints, least))
+    comp = prints.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("group"))
+    first = comp.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return comp.join(first, "group").select("doc_id", "node", "component_id")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id and component_id over links between texts whose shingle sets are similar."""
+    return grouped(docs, words, least).select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of one document, that of the smallest doc_id, of each group of similar texts."""
-    kept = similar_groups(docs, words, least).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    # Rows that repeat an id are copies if their texts are equal; where no id repeats, texts need not be compared.
+    kept = grouped(docs, words, least).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct()
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    if repeated.isEmpty():
+        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+    # Rows that repeat an id are told apart by their sets, and are copies if their texts are equal.
+    def named(batches):
+        for whole in batches:
+            for b in common.slices(whole):
+                node = pa.array([set_name(shingles(x, words)) for x in common.utf8(b.column("text"))], pa.int64())
+                yield pa.RecordBatch.from_arrays([*b.columns, node], [*b.schema.names, "_node"])
+
+    rows = docs.mapInArrow(named, T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
+    left = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["_node"] == kept["kept_node"]), "left_semi")
+    return left.drop("_node").dropDuplicates(["doc_id", "text"])

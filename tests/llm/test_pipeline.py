@@ -114,3 +114,18 @@ def test_copies_in_a_crowded_source(spark):
     got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     wrong = sum(got[order[k]] != min(order[k], order[k ^ 1]) for k in range(len(texts)))
     assert wrong <= 0.005 * len(texts)  # what the keys and the estimate lose
+
+
+def test_copies_at_the_threshold(spark):
+    """Pairs of similarity just over 0.8 are all found."""
+    r = np.random.default_rng(6)
+    rows = []
+    for k in range(300):
+        body = [f"w{x}" for x in r.integers(0, 1 << 40, 244)]  # 240 shingles
+        copy = list(body)
+        for place in range(9, 9 + 10 * 5, 10):  # five words more apart than a shingle: 25 shingles go and come
+            copy[place] = "changed"
+        rows += [(2 * k, " ".join(body)), (2 * k + 1, " ".join(copy))]
+    assert 0.81 < jaccard(rows[0][1], rows[1][1]) < 0.82
+    shared = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), least=0.7).collect()
+    assert sum(x["component_id"] != x["doc_id"] // 2 * 2 for x in shared) == 0
