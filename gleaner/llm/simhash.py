@@ -242,10 +242,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, most: int =
 
 # ---- similarity of shingle sets ---------------------------------------------------------
 
-WIDE, ALL_PAIRS = 32, 8
+ALL_PAIRS = 8
 #: Rows whose shingles are counted to find the frequent ones, and how many of those are told to all tasks.  Any order gives the same links; this one makes few pairs.
 SAMPLED, FREQUENT = 20_000, 1 << 20
-_ODD = np.random.default_rng(64).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -270,28 +269,6 @@ def set_name(found: np.ndarray, seed: int = 42) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def wide_fingerprint(text: bytes, words: int, seed: int = 42) -> tuple[bytes, int]:
-    """WIDE 64-bit fingerprints of the set of word shingles, end to end, and the size of that set."""
-    ws = text.lower().split()
-    h64 = xxhash.xxh64_intdigest
-    hashes = np.array(list({h64(b" ".join(ws[k : k + words]), seed) for k in range(max(1, len(ws) - words + 1))} if ws else ()), np.uint64)
-    ones = np.zeros(64 * WIDE, np.int64)
-    for at in range(0, len(hashes), 512):
-        x = hashes[at : at + 512, None] * _ODD[None, :]
-        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(29)
-        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
-    return np.packbits(ones * 2 > len(hashes)).tobytes(), len(hashes)
-
-
-def similarity(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of sets of n and m shingles, from the share of differing bits (rows of bytes)."""
-    share = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) / (64 * WIDE)
-    both = np.cos(np.pi * np.minimum(share, 0.5)) * np.sqrt(n * m)
-    both = np.minimum(both, np.minimum(n, m))
-    return np.where(n + m > 0, both / np.maximum(n + m - both, 1e-9), 1.0)
-
-
 def prefixes(prints: DataFrame, ratio: Fraction) -> DataFrame:
     """(key, node, n, place): the first shingles of each set, of which similar sets share one.
 
@@ -351,8 +328,9 @@ def may_be(ratio: Fraction) -> Column:
 
 
 def similar_links(prints: DataFrame, least: float) -> DataFrame:
-    """(a, b) edges that connect all nodes whose sets are similar; rows (node, n, shingles) may repeat.
+    """(a, b) edges that connect all nodes whose sets are similar; rows (node, shingles) may repeat.
 
+    A pair is decided by its two sets: what they share is counted, not estimated.
     Keys are the shingles of prefixes.  A key of up to ALL_PAIRS nodes compares them all.  In a larger
     one each is first compared with the smallest, which makes one component of most copies of a
     text; then all of its pairs that are not in one component yet are compared.
@@ -365,17 +343,17 @@ def similar_links(prints: DataFrame, least: float) -> DataFrame:
 
     def verify(batches):
         for t in batches:
-            if t.num_rows:
-                x, y = (common.packed(t.column(c))[0].reshape(t.num_rows, -1) for c in ("fp_a", "fp_b"))
-                n, m = (t.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b"))
-                ok = pa.array(similarity(x, y, n, m) >= least)
-                yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok)], ["a", "b"])
+            (x, i), (y, j) = (common.packed(t.column(c)) for c in ("set_a", "set_b"))
+            x, y, i, j = x.copy().view(np.int64), y.copy().view(np.int64), i // 8, j // 8
+            both = np.array([len(np.intersect1d(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], assume_unique=True)) for k in range(t.num_rows)], np.int64)
+            ok = pa.array(both * (ratio.numerator + ratio.denominator) >= ratio.numerator * (np.diff(i) + np.diff(j)))
+            yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok)], ["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = common.written(pairs.distinct(), "pairs")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = common.written(prints.select("node", "n", "fp").join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
-        end = lambda x: sets.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}"))
+        sets = common.written(prints.select("node", "shingles").join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        end = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
         return common.written(pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(verify, "a long, b long"), "similar")
 
     few, crowded = shared.where(f"crowd <= {ALL_PAIRS}"), shared.where(f"crowd > {ALL_PAIRS}")
@@ -394,13 +372,11 @@ def grouped(docs: DataFrame, words: int, least: float) -> DataFrame:
     def run(batches):
         for whole in batches:
             for b in common.slices(whole):
-                texts = common.utf8(b.column("text"))
-                got, wide = [shingles(x, words) for x in texts], [wide_fingerprint(x, words)[0] for x in texts]
-                columns = [pa.array([set_name(x) for x in got], pa.int64()), pa.array([len(x) for x in got], pa.int32()), common.binaries([x.tobytes() for x in got]), common.binaries(wide)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "node", "n", "shingles", "fp"])
+                got = [shingles(x, words) for x in common.utf8(b.column("text"))]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([set_name(x) for x in got], pa.int64()), common.binaries([x.tobytes() for x in got])], ["doc_id", "node", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = common.written(rows.mapInArrow(run, "doc_id long, node long, n int, shingles binary, fp binary"), "shingles")
+    prints = common.written(rows.mapInArrow(run, "doc_id long, node long, shingles binary"), "shingles")
     found = components(similar_links(prints, least))
     comp = prints.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("group"))
     first = comp.groupBy("group").agg(F.min("doc_id").alias("component_id"))
