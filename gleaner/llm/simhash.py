@@ -269,7 +269,19 @@ def set_name(found: np.ndarray, seed: int = 42) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def prefixes(prints: DataFrame, ratio: Fraction) -> DataFrame:
+def sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, node (the name of the text's set of shingles) and the set."""
+
+    def run(batches):
+        for whole in batches:
+            for b in common.slices(whole):
+                got = [shingles(x, words) for x in common.utf8(b.column("text"))]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([set_name(x) for x in got], pa.int64()), common.binaries([x.tobytes() for x in got])], ["doc_id", "node", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, shingles binary")
+
+
+def prefixes(docs: DataFrame, words: int, ratio: Fraction) -> DataFrame:
     """(key, node, n, place): the first shingles of each set, of which similar sets share one.
 
     Of n shingles a similar set holds at least ratio * n, so that it lacks at most the rest, and
@@ -278,33 +290,32 @@ def prefixes(prints: DataFrame, ratio: Fraction) -> DataFrame:
 
     def flat(batches):
         for whole in batches:
-            for b in common.slices(whole, "shingles"):
-                yield pa.RecordBatch.from_arrays([pa.array(common.packed(b.column("shingles"))[0].copy().view(np.int64))], ["key"])
+            for b in common.slices(whole):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(x, words) for x in common.utf8(b.column("text"))]))], ["key"])
 
-    part = max(1, prints.count() // SAMPLED)
-    counts = prints.where(F.pmod("node", F.lit(part)) == 0).select("shingles").mapInArrow(flat, "key long").groupBy("key").count()
+    part = max(1, docs.count() // SAMPLED)
+    counts = docs.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select("text").mapInArrow(flat, "key long").groupBy("key").count()
     counts = counts.where("count > 2").orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow().sort_by("key")
-    frequent = prints.sparkSession.sparkContext.broadcast((counts.column("key").to_numpy(), counts.column("count").to_numpy()))
+    frequent = docs.sparkSession.sparkContext.broadcast((counts.column("key").to_numpy(), counts.column("count").to_numpy()))
 
     def run(batches):
         known, count = frequent.value
         for whole in batches:
-            for b in common.slices(whole, "shingles"):
-                data, at = common.packed(b.column("shingles"))
-                h, at = data.copy().view(np.int64), at // 8
-                n = np.diff(at)
+            for b in common.slices(whole):
+                got = [shingles(x, words) for x in common.utf8(b.column("text"))]
+                h, n = np.concatenate(got), np.array([len(x) for x in got])
                 row = np.repeat(np.arange(len(n)), n)
                 seen = np.zeros(len(h), np.int64)
                 if len(known):
                     k = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     seen = np.where(known[k] == h, count[k], 0)
                 order = np.argsort(row << 40 | seen, kind="stable")
-                place = np.arange(len(h)) - at[:-1][row]
+                place = np.arange(len(h)) - (np.cumsum(n) - n)[row]
                 ok = place < (n + 1 - -(-n * ratio.numerator // ratio.denominator))[row]
-                row = row[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(h[order[ok]]), pa.array(b.column("node").to_numpy()[row]), pa.array(n[row], pa.int32()), pa.array(place[ok], pa.int32())], ["key", "node", "n", "place"])
+                row, node = row[ok], np.array([set_name(x) for x in got], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[order[ok]]), pa.array(node[row]), pa.array(n[row], pa.int32()), pa.array(place[ok], pa.int32())], ["key", "node", "n", "place"])
 
-    return prints.select("node", "shingles").mapInArrow(run, "key long, node long, n int, place int")
+    return docs.select("text").mapInArrow(run, "key long, node long, n int, place int")
 
 
 def met(rows: DataFrame, ratio: Fraction, apart: bool = False) -> DataFrame:
@@ -327,8 +338,8 @@ def may_be(ratio: Fraction) -> Column:
     return left * (ratio.numerator + ratio.denominator) >= (F.col("a.n") + F.col("b.n")) * ratio.numerator
 
 
-def similar_links(prints: DataFrame, least: float) -> DataFrame:
-    """(a, b) edges that connect all nodes whose sets are similar; rows (node, shingles) may repeat.
+def similar_links(docs: DataFrame, prints: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b) edges that connect all nodes whose sets are similar; prints has (doc_id, node) of docs.
 
     A pair is decided by its two sets: what they share is counted, not estimated.
     Keys are the shingles of prefixes.  A key of up to ALL_PAIRS nodes compares them all.  In a larger
@@ -337,7 +348,7 @@ def similar_links(prints: DataFrame, least: float) -> DataFrame:
     """
     ratio = Fraction(least).limit_denominator(1000)
     w = Window.partitionBy("key")
-    rows = prefixes(prints, ratio).repartition(common.partitions(prints.sparkSession), "key").distinct()
+    rows = prefixes(docs, words, ratio).repartition(common.partitions(prints.sparkSession), "key").distinct()
     shared = rows.withColumn("crowd", F.count("*").over(w)).withColumn("least", F.min(F.struct("node", "n", "place")).over(w)).where("crowd > 1")
     shared = common.written(shared, "prefixes")
 
@@ -352,9 +363,15 @@ def similar_links(prints: DataFrame, least: float) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = common.written(pairs.distinct(), "pairs")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = common.written(prints.select("node", "shingles").join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
-        end = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
-        return common.written(pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(verify, "a long, b long"), "similar")
+        # Sets are many times the size of what stands for them: only those of the pairs are made again, from one text each.
+        ids = prints.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
+        ids = common.written(ids.select("id").distinct(), "ids")
+        own = common.written(sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi"), words).select("node", "shingles").dropDuplicates(["node"]), "sets")
+        end = lambda x: own.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
+        done = common.written(pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(verify, "a long, b long"), "similar")
+        for x in (pairs, ids, own):
+            common.dropped(x)
+        return done
 
     few, crowded = shared.where(f"crowd <= {ALL_PAIRS}"), shared.where(f"crowd > {ALL_PAIRS}")
     first = crowded.where("node > least.node").select(F.col("least").alias("a"), F.struct("node", "n", "place").alias("b")).where(may_be(ratio))
@@ -368,17 +385,10 @@ def similar_links(prints: DataFrame, least: float) -> DataFrame:
 
 def grouped(docs: DataFrame, words: int, least: float) -> DataFrame:
     """doc_id, node (the name of the text's set) and component_id, the smallest doc_id reachable over links."""
-
-    def run(batches):
-        for whole in batches:
-            for b in common.slices(whole):
-                got = [shingles(x, words) for x in common.utf8(b.column("text"))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([set_name(x) for x in got], pa.int64()), common.binaries([x.tobytes() for x in got])], ["doc_id", "node", "shingles"])
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = common.written(rows.mapInArrow(run, "doc_id long, node long, shingles binary"), "shingles")
-    found = components(similar_links(prints, least))
-    comp = prints.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("group"))
+    prints = common.written(sets(rows, words).select("doc_id", "node"), "nodes")
+    found = components(similar_links(rows, prints, words, least))
+    comp = prints.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("group"))
     first = comp.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return comp.join(first, "group").select("doc_id", "node", "component_id")
 
