@@ -26,7 +26,7 @@ from . import common
 
 #: Fixed value: the public pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-NONE = 1 << 60
+PLACE_BITS, NONE = 40, 1 << 80
 #: Words kept with their ids in each Python worker (the first that come, so mostly frequent ones), and the longest that is kept.
 KEPT_WORDS, KEPT_CHARS = 400_000, 64
 
@@ -67,12 +67,12 @@ class ByteBPE:
         merges, size = self.merges, 1
         while size < n:
             size *= 2
-        # A node is rank << 24 | place, so that the least is the leftmost of the lowest rank; words are under 16 MiB.
+        # A node is rank << PLACE_BITS | place, so that the least is the leftmost of the lowest rank.
         tree = [NONE] * (2 * size)
         get = merges.get
         for i in range(n - 1):
             if m := get(ids[i] << 24 | ids[i + 1]):
-                tree[size + i] = m[0] << 24 | i
+                tree[size + i] = m[0] << PLACE_BITS | i
         for i in range(size - 1, 0, -1):
             a, b = tree[2 * i], tree[2 * i + 1]
             tree[i] = a if a < b else b
@@ -82,13 +82,13 @@ class ByteBPE:
             j = after[i]
             m = get(ids[i] << 24 | ids[j]) if j < n else None
             k = size + i
-            tree[k] = m[0] << 24 | i if m else NONE
+            tree[k] = m[0] << PLACE_BITS | i if m else NONE
             while k := k >> 1:
                 a, b = tree[2 * k], tree[2 * k + 1]
                 tree[k] = a if a < b else b
 
         while (root := tree[1]) < NONE:
-            i = root & 0xFFFFFF
+            i = root & (1 << PLACE_BITS) - 1
             j = after[i]
             ids[i] = merges[ids[i] << 24 | ids[j]][1]
             ids[j] = -1

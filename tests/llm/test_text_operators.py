@@ -237,3 +237,10 @@ def test_large_group_of_near_copies(spark):
         copy[int(r.integers(400))] = f"x{c}"
         rows.append((c, " ".join(copy), "", ""))
     assert {x["component_id"] for x in simhash.similar_groups(frame(spark, rows)).collect()} == {0}
+
+
+def test_bpe_merges_beyond_16_mib():
+    b = bpe.ByteBPE.__new__(bpe.ByteBPE)
+    b.byte_id, b.merges = list(range(256)), {ord("b") << 24 | ord("c"): (0, 300)}
+    got = b.merge(b"a" * (1 << 24) + b"bc")
+    assert len(got) == (1 << 24) + 1 and got[-1] == 300
