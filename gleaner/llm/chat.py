@@ -11,7 +11,7 @@ backslash becomes ``\\b``, ``###`` becomes ``\\h`` and ``</turn>`` becomes ``\\t
 colon ``\\c`` and a newline ``\\n``.  After a backslash stands exactly one code letter, so that it
 reads back without doubt.  The loss mask lists the character spans of assistant texts.
 
-Defined results: null texts and roles are empty; turns that repeat a number are ordered by
+Defined results: null texts and roles are empty; a null conv_id is a conversation; turns that repeat a number are ordered by
 role and text; a message whose parent is missing is a root; messages on a cycle belong to no
 path; an empty table gives no rows; other columns are not read.
 """
@@ -48,7 +48,7 @@ def linear(turns: DataFrame) -> DataFrame:
 
 
 def paths(messages: DataFrame) -> DataFrame:
-    """(conv_id, leaf, id, up): every message of every root-to-leaf path, `up` steps above its leaf."""
+    """(conv_id, leaf, id, up): every message of every root-to-leaf path, `up` steps above its leaf; conv_id is a struct, as joins pass over nulls."""
     ids = messages.select("conv_id", "id")
     links = messages.where("parent is not null").select("conv_id", "id", F.col("parent").alias("to"))
     links = links.join(ids.select("conv_id", F.col("id").alias("to")), ["conv_id", "to"], "left_semi")
@@ -71,6 +71,7 @@ def paths(messages: DataFrame) -> DataFrame:
 
 def formatted(messages: DataFrame, best: int | None = None, learn: str = "assistant") -> DataFrame:
     """conv_id, leaf, rank, score, formatted, mask: the `best` paths of each tree (all, if None)."""
+    messages = messages.withColumn("conv_id", F.struct("conv_id"))  # never null itself, so that a null conv_id joins too
     steps = paths(messages).join(messages.select("conv_id", "id", "role", "text", "score"), ["conv_id", "id"])
     if best is not None:
         scores = steps.groupBy("conv_id", "leaf").agg(F.sum("score").alias("total"))
@@ -89,7 +90,7 @@ def formatted(messages: DataFrame, best: int | None = None, learn: str = "assist
     both = F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("place"), F.col("turn"), span.alias("span"))))
     grouped = steps.groupBy("conv_id", "leaf").agg(both.alias("t"), F.sum("score").alias("score"))
     return grouped.select(
-        "conv_id",
+        F.col("conv_id.conv_id").alias("conv_id"),
         "leaf",
         F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf")).alias("rank"),
         "score",

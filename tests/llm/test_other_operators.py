@@ -31,6 +31,13 @@ def test_chat_trees(spark):
     assert chat.formatted(chat.linear(long.limit(0))).count() == 0
 
 
+def test_chat_null_conversation(spark):
+    turns = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (7, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.read_back(chat.formatted(chat.linear(turns))).collect()}
+    assert got == {None: [("user", "a"), ("assistant", "b")], 7: [("user", "c")]}
+    assert {r["conv_id"] for r in chat.formatted(chat.linear(turns), best=1).collect()} == {None, 7}
+
+
 def test_shards(spark):
     got = queries.QUERIES["op8_shards"](spark, MEDIUM).toPandas()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()}
