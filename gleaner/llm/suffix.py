@@ -189,8 +189,11 @@ def _all(column, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs with n_bytes, n_removed, n_spans, spans (start and end of each removed run) and kept (the other bytes)."""
+def dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", characters: bool = False) -> DataFrame:
+    """The rows of docs with n_bytes, n_removed, n_spans, spans (start and end of each removed run) and kept (the other bytes).
+
+    With characters, a run takes the characters it cuts through whole.  Columns of these five names are replaced.
+    """
     spark = docs.sparkSession
     added = ["n_bytes", "n_removed", "n_spans", "spans", "kept"]
     docs = docs.drop(*added, "_chunk")
@@ -352,6 +355,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
         rows: list[list] = [[] for _ in added]
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             x = out[a:b]
+            if characters and x.any():
+                of = np.cumsum(data[a:b] & 0xC0 != 0x80)  # which character a byte belongs to
+                hit = np.zeros(of[-1] + 1, bool)
+                hit[of[x]] = True
+                x = hit[of]
             if x.any():
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], x, [False]]).astype(np.int8))).reshape(-1, 2)
                 spans, kept = edges.tolist(), data[a:b][~x].tobytes()
@@ -374,8 +382,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of docs with repeated passages taken out of text (a character cut through goes too) and n_chars counted anew; texts that lose all go."""
-    done = dedup(docs, length)
-    kept = F.when(F.col("n_removed") > 0, F.expr("replace(make_valid_utf8(cast(kept as string)), '\ufffd', '')")).otherwise(F.col("text"))
+    done = dedup(docs, length, characters=True)
+    kept = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
     done = done.where("n_bytes = 0 or n_removed < n_bytes").withColumn("text", kept)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
