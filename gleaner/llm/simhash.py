@@ -20,8 +20,9 @@ themselves are joined.  In one order of all shingles, the frequent ones last, tw
 share one of the first few of each (a prefix), and sets that do are compared.
 
 Defined results: null and empty texts have no shingles and the fingerprint zero, linked like
-any other; fewer words than a shingle make one shingle; a null doc_id takes part and is
-never the smallest of a group that has another; repeated rows share their fingerprint; an
+any other; fewer words than a shingle make one shingle; a text whose doc_id is null links
+others and gets their component, but is never the smallest of a group that has a doc_id
+(component_id is null where none has); repeated rows share their fingerprint; an
 empty table gives no rows.
 """
 
@@ -230,13 +231,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, most: int = 3) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id reachable over links."""
     prints = common.written(fingerprints(docs, words, seed), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    # A node is named by its smallest doc_id, so that the smallest node of a component is the answer;
-    # without any doc_id (null alone) it takes no part under a name and stands for itself.
-    nodes = common.written(nodes, "simhash-nodes")
-    named = nodes.where("least is not null").select(F.col("least").alias("node"), "fp")
-    found = components(links(named, most))
-    comp = nodes.join(found, nodes["least"] == found["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # A node is its fingerprint, so that one whose only doc_id is null links others too.
+    nodes = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), most))
+    comp = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    comp = common.written(comp, "simhash-groups")
+    first = comp.groupBy("group").agg(F.min("least").alias("component_id"))
+    comp = comp.join(first, "group").select("fp", "component_id")
     return prints.join(comp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
