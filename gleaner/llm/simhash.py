@@ -270,6 +270,49 @@ def set_name(found: np.ndarray, seed: int = 42) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def parities(found: np.ndarray) -> bytes:
+    """One bit for each bin of shingles: whether it holds an odd number.  Bins are a power of two, no fewer than the shingles."""
+    width = 1 << max(6, (len(found) - 1).bit_length())
+    odd = np.bincount(found & (width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """How many bits the parities of each row's two sets differ in, the wider one folded.
+
+    A shingle of one set alone changes one bit, so the sets differ in no fewer shingles.
+    """
+    (x, i), (y, j) = common.packed(a), common.packed(b)
+    wide = np.stack([np.diff(i), np.diff(j)], axis=1)
+    out = np.zeros(len(wide), np.int64)
+    for u, v in np.unique(wide, axis=0).tolist():
+        same = np.flatnonzero((wide == (u, v)).all(axis=1))
+        step = max(1, (1 << 20) // max(u, v))
+        for k in (same[at : at + step] for at in range(0, len(same), step)):
+            sides = []
+            for data, at, w in ((x, i, u), (y, j, v)):
+                bits = data[at[k][:, None] + np.arange(w)].view("<u8")
+                while bits.shape[1] > min(u, v) // 8:
+                    half = bits.shape[1] // 2
+                    bits = bits[:, :half] ^ bits[:, half:]
+                sides.append(bits)
+            out[k] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def described(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, node (the name of the text's set of shingles), the set's size n and its parities."""
+
+    def run(batches):
+        for whole in batches:
+            for b in common.slices(whole):
+                got = [shingles(x, words) for x in common.utf8(b.column("text"))]
+                node, n = pa.array([set_name(x) for x in got], pa.int64()), pa.array([len(x) for x in got], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), node, n, common.binaries([parities(x) for x in got])], ["doc_id", "node", "n", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, bits binary")
+
+
 def sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, node (the name of the text's set of shingles) and the set."""
 
@@ -319,18 +362,17 @@ def prefixes(docs: DataFrame, words: int, ratio: Fraction) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, node long, n int, place int")
 
 
-def met(rows: DataFrame, ratio: Fraction, apart: bool = False) -> DataFrame:
-    """(a, b) pairs of nodes, a the smaller, that share a key and may be similar; rows have the number of the key's nodes as crowd.
+def met(rows: DataFrame, ratio: Fraction, *more: str) -> DataFrame:
+    """(a, b) pairs of rows, a of the smaller node, that share a key and may be similar; rows have the number of the key's nodes as crowd.
 
-    Keys of more than BLOCK nodes are dealt out as pairs of blocks.  With apart, rows have a label
-    too and pairs of one label are left out.
+    a and b are structs of node, n, place and the further columns named.  Keys of more than BLOCK
+    nodes are dealt out as pairs of blocks.
     """
     f = F.ceil(F.col("crowd") / BLOCK).cast("int")
     dealt = rows.withColumn("own", F.pmod(F.hash("node"), f)).withColumn("other", F.explode(F.sequence(F.lit(0), f - 1)))
-    label = ["label"] if apart else []
-    side = lambda x, i, j: dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.struct("node", "n", "place", *label).alias(x))
+    side = lambda x, i, j: dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.struct("node", "n", "place", *more).alias(x))
     pairs = side("a", "own", "other").join(side("b", "other", "own"), ["key", "i", "j"]).where("a.node < b.node")
-    return (pairs.where("a.label <> b.label") if apart else pairs).where(may_be(ratio)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    return pairs.where(may_be(ratio)).select("a", "b")
 
 
 def may_be(ratio: Fraction) -> Column:
@@ -340,9 +382,10 @@ def may_be(ratio: Fraction) -> Column:
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b) edges that connect all nodes whose sets are similar; prints has (doc_id, node) of docs.
+    """(a, b) edges that connect all nodes whose sets are similar; prints is described(docs).
 
-    A pair is decided by its two sets: what they share is counted, not estimated.
+    A pair is decided by its two sets: what they share is counted, not estimated.  Pairs whose
+    parities already differ in more bits than similar sets can differ in shingles go before that.
     Keys are the shingles of prefixes.  A key of up to ALL_PAIRS nodes compares them all.  In a larger
     one each is first compared with the smallest, which makes one component of most copies of a
     text; then all of its pairs that are not in one component yet are compared.
@@ -353,6 +396,16 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int, least: float)
     shared = rows.withColumn("crowd", F.count("*").over(w)).withColumn("least", F.min(F.struct("node", "n", "place")).over(w)).where("crowd > 1")
     shared = common.written(shared, "prefixes")
 
+    marks = common.written(prints.select("node", "n", "bits").dropDuplicates(["node"]), "marks")
+    mark = lambda x: marks.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+
+    def near(batches):
+        for t in batches:
+            n = t.column("n_a").to_numpy().astype(np.int64) + t.column("n_b").to_numpy()
+            bits = differing(t.column("bits_a"), t.column("bits_b"))
+            ok = pa.array(bits * (ratio.numerator + ratio.denominator) <= (ratio.denominator - ratio.numerator) * n)
+            yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok)], ["a", "b"])
+
     def verify(batches):
         for t in batches:
             (x, i), (y, j) = (common.packed(t.column(c)) for c in ("set_a", "set_b"))
@@ -376,18 +429,23 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int, least: float)
 
     few, crowded = shared.where(f"crowd <= {ALL_PAIRS}"), shared.where(f"crowd > {ALL_PAIRS}")
     first = crowded.where("node > least.node").select(F.col("least").alias("a"), F.struct("node", "n", "place").alias("b")).where(may_be(ratio))
-    edges = verified(met(few, ratio).union(first.select("a.node", "b.node")))
+    pairs = met(few, ratio).union(first).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    edges = verified(pairs.join(mark("a"), "a").join(mark("b"), "b").mapInArrow(near, "a long, b long"))
     if crowded.isEmpty():
         return edges
     named = crowded.join(components(edges), "node", "left").select("key", "node", "n", "place", "crowd", F.coalesce("component", "node").alias("label"))
     named = named.withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w)).where("low < high")
-    return edges.union(verified(met(named, ratio, apart=True)))
+    # Here pairs may be many more than rows: they are made and judged by their parities in one task, and only the near ones leave it.
+    named = named.join(marks.select("node", "bits"), "node")
+    pairs = met(named, ratio, "label", "bits").where("a.label <> b.label")
+    pairs = pairs.select(*(F.col(f"{x}.{c}").alias(x if c == "node" else f"{c}_{x}") for c in ("node", "n", "bits") for x in "ab"))
+    return edges.union(verified(pairs.mapInArrow(near, "a long, b long")))
 
 
 def grouped(docs: DataFrame, words: int, least: float) -> DataFrame:
     """doc_id, node (the name of the text's set) and component_id, the smallest doc_id reachable over links."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = common.written(sets(rows, words).select("doc_id", "node"), "nodes")
+    prints = common.written(described(rows, words), "nodes")
     found = components(similar_links(rows, prints, words, least))
     comp = prints.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("group"))
     first = comp.groupBy("group").agg(F.min("doc_id").alias("component_id"))

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -133,6 +134,14 @@ def test_suffix_edges(spark):
     assert kept.columns == df.columns and kept.count() == 2
 
 
+def test_repeats_take_cut_characters_and_no_others(spark):
+    shared = "0123456789" * 6
+    df = frame(spark, [(1, f"\u00e9{shared}\u00e9", "", ""), (2, f"\ufffda\u00e8 {shared} b\ufffd", "", ""), (3, f"c\ufffd\u00e9{shared}\u00ea\ufffd", "", "")])
+    got = {r["doc_id"]: r["text"] for r in suffix.remove_repeats(df).collect()}
+    # The bytes of 3 that repeat 1 end within a character, whose other half goes with them.
+    assert got == {1: f"\u00e9{shared}\u00e9", 2: "\ufffda\u00e8  b\ufffd", 3: "c\ufffd\ufffd"}
+
+
 def brute_fingerprint(x):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
     w = re.findall("[^\x20\x09-\x0d]+", low)
@@ -191,6 +200,34 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_simhash_null_ids_link_others(spark):
+    r = np.random.default_rng(4)
+    body, chain = [f"w{x}" for x in r.integers(0, 1 << 30, 200)], []
+    for k in range(120):
+        body[int(r.integers(200))] = f"x{k}"
+        chain.append(" ".join(body))
+    fp = [simhash.fingerprint(x.encode()) for x in chain]
+    near = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 3
+    a, b, c = next((i, j, k) for i in range(120) for j in range(i) for k in range(j) if near(i, j) and near(j, k) and not near(i, k))
+    df = frame(spark, [(1, chain[a], "", ""), (None, chain[b], "", ""), (9, chain[c], "", "")])
+    assert [x["component_id"] for x in simhash.near_duplicates(df).collect()] == [1, 1, 1]
+    assert sorted(x["component_id"] for x in simhash.near_duplicates(df.where("doc_id is not null")).collect()) == [1, 9]
+
+
+def test_parities_never_exceed_the_difference():
+    r = np.random.default_rng(8)
+    one, two, want = [], [], []
+    for k in range(300):
+        both, a, b = (r.integers(-(1 << 63), (1 << 63) - 1, r.integers(0, n)) for n in (400, 1 + 2 * k, 90))
+        a, b = np.unique(np.concatenate([both, a])), np.unique(np.concatenate([both, b]))
+        one.append(simhash.parities(a))
+        two.append(simhash.parities(b))
+        want.append(len(np.setxor1d(a, b)))
+    got = simhash.differing(pa.array(one, pa.binary()), pa.array(two, pa.binary()))
+    assert (got <= want).all() and (got % 2 == np.array(want) % 2).all() and got.sum() > 0.4 * sum(want)
+    assert len({len(x) for x in one + two}) > 2
+
+
 def test_decontamination_equals_sql(spark, duck, same):
     got = queries.QUERIES["op4_decontaminate"](spark, SMALL).toPandas()
     same(got, duck(queries.ORACLES["op4_decontaminate"], "sf0.001"))
