@@ -64,6 +64,23 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(int(a), int(b - a))
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
+    """Sorted rows of a partition in tables that end where a group ends, whatever the batches' edges."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(c).to_numpy() for c in by], axis=1)
+        other = np.flatnonzero(np.any(key != key[-1], axis=1))
+        k = int(other[-1]) + 1 if len(other) else 0
+        if k:
+            yield pa.Table.from_batches([*held, b.slice(0, k)])
+            held.clear()
+        held.append(b.slice(k))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

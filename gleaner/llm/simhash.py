@@ -244,8 +244,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, most: int =
 # ---- similarity of shingle sets ---------------------------------------------------------
 
 ALL_PAIRS = 8
-#: Rows whose shingles are counted to find the frequent ones, and how many of those are told to all tasks.  Any order gives the same links; this one makes few pairs.
+#: Rows whose shingles are counted to find the frequent ones, and how many of those at most are told to all tasks.  Any order gives the same links; this one makes few pairs.
 SAMPLED, FREQUENT = 20_000, 1 << 20
+#: The most bits of a set's parities; fewer bits than shingles only weaken the bound.
+WIDEST = 1 << 14
 
 
 def shingles(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -271,27 +273,26 @@ def set_name(found: np.ndarray, seed: int = 42) -> int:
 
 
 def parities(found: np.ndarray) -> bytes:
-    """One bit for each bin of shingles: whether it holds an odd number.  Bins are a power of two, no fewer than the shingles."""
-    width = 1 << max(6, (len(found) - 1).bit_length())
+    """One bit for each bin of shingles: whether it holds an odd number.  Bins are a power of two, no fewer than the shingles up to WIDEST."""
+    width = min(WIDEST, 1 << max(6, (len(found) - 1).bit_length()))
     odd = np.bincount(found & (width - 1), minlength=width) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
-def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """How many bits the parities of each row's two sets differ in, the wider one folded.
+def apart(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many bits the parities of row p of (x, i) and row q of (y, j) (bytes, and where each row starts) differ in, the wider one folded.
 
     A shingle of one set alone changes one bit, so the sets differ in no fewer shingles.
     """
-    (x, i), (y, j) = common.packed(a), common.packed(b)
-    wide = np.stack([np.diff(i), np.diff(j)], axis=1)
+    wide = np.stack([i[p + 1] - i[p], j[q + 1] - j[q]], axis=1)
     out = np.zeros(len(wide), np.int64)
     for u, v in np.unique(wide, axis=0).tolist():
         same = np.flatnonzero((wide == (u, v)).all(axis=1))
         step = max(1, (1 << 20) // max(u, v))
         for k in (same[at : at + step] for at in range(0, len(same), step)):
             sides = []
-            for data, at, w in ((x, i, u), (y, j, v)):
-                bits = data[at[k][:, None] + np.arange(w)].view("<u8")
+            for data, start, w in ((x, i[p[k]], u), (y, j[q[k]], v)):
+                bits = data[start[:, None] + np.arange(w)].view("<u8")
                 while bits.shape[1] > min(u, v) // 8:
                     half = bits.shape[1] // 2
                     bits = bits[:, :half] ^ bits[:, half:]
@@ -300,6 +301,12 @@ def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
+def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """How many bits the parities of each row's two sets differ in."""
+    row = np.arange(len(a))
+    return apart(*common.packed(a), *common.packed(b), row, row)
+
+
 def described(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, node (the name of the text's set of shingles), the set's size n and its parities."""
 
@@ -362,17 +369,47 @@ def prefixes(docs: DataFrame, words: int, ratio: Fraction) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, node long, n int, place int")
 
 
-def met(rows: DataFrame, ratio: Fraction, *more: str) -> DataFrame:
-    """(a, b) pairs of rows, a of the smaller node, that share a key and may be similar; rows have the number of the key's nodes as crowd.
+def met(rows: DataFrame, ratio: Fraction) -> DataFrame:
+    """(a, b) pairs of rows (structs of node, n, place), a of the smaller node, that share a key and may be similar."""
+    side = lambda x: rows.select("key", F.struct("node", "n", "place").alias(x))
+    return side("a").join(side("b"), "key").where("a.node < b.node").where(may_be(ratio)).select("a", "b")
+
 
-    a and b are structs of node, n, place and the further columns named.  Keys of more than BLOCK
-    nodes are dealt out as pairs of blocks.
+def crowd_pairs(rows: DataFrame, ratio: Fraction) -> DataFrame:
+    """(a, b) nodes, a the smaller, that share a key, have different labels and whose sets may be similar by size, place and parities.
+
+    Rows are key, node, n, place, label, bits, and crowd, the number of rows of the key.  Rows of a
+    key meet in one task, where blocks of them are compared; only near pairs leave it.  Keys of more
+    than BLOCK rows are dealt out as pairs of blocks.
     """
     f = F.ceil(F.col("crowd") / BLOCK).cast("int")
     dealt = rows.withColumn("own", F.pmod(F.hash("node"), f)).withColumn("other", F.explode(F.sequence(F.lit(0), f - 1)))
-    side = lambda x, i, j: dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.struct("node", "n", "place", *more).alias(x))
-    pairs = side("a", "own", "other").join(side("b", "other", "own"), ["key", "i", "j"]).where("a.node < b.node")
-    return pairs.where(may_be(ratio)).select("a", "b")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "n", "place", "label", "bits")
+    up, down = ratio.numerator, ratio.denominator
+
+    def run(batches):
+        for t in common.whole_groups(batches, "key", "i", "j"):
+            key = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            node, n, place, label = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "place", "label"))
+            second = t.column("second").to_numpy()
+            bits, start = common.packed(t.column("bits"))
+            cut = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
+                one, alone = np.flatnonzero(~second[a:b]) + a, key[a, 1] == key[a, 2]
+                two = one if alone else np.flatnonzero(second[a:b]) + a
+                for p in (one[at : at + 256, None] for at in range(0, len(one), 256)):
+                    ok = label[p] != label[two]
+                    ok &= np.minimum(n[p] - place[p], n[two] - place[two]) * (up + down) >= (n[p] + n[two]) * up
+                    if alone:
+                        ok &= node[p] < node[two]
+                    x, y = np.nonzero(ok)
+                    x, y = p[x, 0], two[y]
+                    near = apart(bits, start, bits, start, x, y) * (up + down) <= (down - up) * (n[x] + n[y])
+                    if near.any():
+                        x, y = node[x[near]], node[y[near]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return dealt.repartition(common.partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def may_be(ratio: Fraction) -> Column:
@@ -436,10 +473,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int, least: float)
     named = crowded.join(components(edges), "node", "left").select("key", "node", "n", "place", "crowd", F.coalesce("component", "node").alias("label"))
     named = named.withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w)).where("low < high")
     # Here pairs may be many more than rows: they are made and judged by their parities in one task, and only the near ones leave it.
-    named = named.join(marks.select("node", "bits"), "node")
-    pairs = met(named, ratio, "label", "bits").where("a.label <> b.label")
-    pairs = pairs.select(*(F.col(f"{x}.{c}").alias(x if c == "node" else f"{c}_{x}") for c in ("node", "n", "bits") for x in "ab"))
-    return edges.union(verified(pairs.mapInArrow(near, "a long, b long")))
+    return edges.union(verified(crowd_pairs(named.join(marks.select("node", "bits"), "node"), ratio)))
 
 
 def grouped(docs: DataFrame, words: int, least: float) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -281,3 +282,38 @@ def test_bpe_merges_beyond_16_mib():
     b.byte_id, b.merges = list(range(256)), {ord("b") << 24 | ord("c"): (0, 300)}
     got = b.merge(b"a" * (1 << 24) + b"bc")
     assert len(got) == (1 << 24) + 1 and got[-1] == 300
+
+
+def test_crowded_keys_in_blocks(spark, monkeypatch):
+    """Pairs of a key dealt out as pairs of blocks are those of one block, and those of brute force."""
+    r = np.random.default_rng(12)
+    rows, sets = [], {}
+    for k in range(90):
+        base = r.integers(0, 1 << 60, 40) if k % 3 == 0 else base
+        own = np.unique(np.concatenate([base, r.integers(0, 1 << 60, int(r.integers(1, 12)))]))
+        sets[k] = own
+        rows += [(key, k, len(own), int(r.integers(0, 3)), k // 2, 90, bytearray(simhash.parities(own))) for key in (5, 6)]
+    df = spark.createDataFrame(rows, "key long, node long, n int, place int, label long, crowd long, bits binary")
+    ratio = Fraction(4, 5)
+    place = {(x[0], x[1]): x[3] for x in rows}
+    want = set()
+    for a in range(90):
+        for b in range(a):
+            n = len(sets[a]), len(sets[b])
+            apart = simhash.differing(*(pa.array([simhash.parities(sets[x])], pa.binary()) for x in (a, b)))[0]
+            fits = any(min(n[0] - place[k, a], n[1] - place[k, b]) * 9 >= sum(n) * 4 for k in (5, 6))
+            if a // 2 != b // 2 and fits and apart * 9 <= sum(n):
+                want.add((b, a))
+    got = lambda: {tuple(x) for x in simhash.crowd_pairs(df, ratio).collect()}
+    assert got() == want and len(want) > 10
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    assert got() == want
+
+
+def test_parities_of_wide_sets_are_a_bound():
+    r = np.random.default_rng(13)
+    one = np.unique(r.integers(-(1 << 63), (1 << 63) - 1, 40_000))
+    two = np.concatenate([one[:-3000], [1, 2, 3]])
+    a, b = simhash.parities(one), simhash.parities(np.unique(two))
+    assert len(a) * 8 == len(b) * 8 == simhash.WIDEST
+    assert 1000 < simhash.differing(pa.array([a], pa.binary()), pa.array([b], pa.binary()))[0] <= 3003
