@@ -346,7 +346,13 @@ def prefixes(docs: DataFrame, words: int, ratio: Fraction) -> DataFrame:
 
     part = max(1, docs.count() // SAMPLED)
     counts = docs.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select("text").mapInArrow(flat, "key long").groupBy("key").count()
-    counts = counts.where("count > 2").orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow().sort_by("key")
+    counts = common.written(counts.where("count > 2"), "shingle-counts")
+    # The least count that no more than FREQUENT shingles reach: no task sorts or holds them all.
+    sizes = sorted(((x["count"], x["n"]) for x in counts.groupBy("count").agg(F.count("*").alias("n")).collect()), reverse=True)
+    reach = np.cumsum([0, *(n for _, n in sizes)])[1:]
+    least = min((c for (c, _), n in zip(sizes, reach.tolist()) if n <= FREQUENT), default=None)
+    counts_, counts = counts, counts.where(F.col("count") >= least if least else F.lit(False)).toArrow().sort_by("key")
+    common.dropped(counts_)
     frequent = docs.sparkSession.sparkContext.broadcast((counts.column("key").to_numpy(), counts.column("count").to_numpy()))
 
     def run(batches):
