@@ -9,8 +9,8 @@ pools the states and a logistic unit gives its margin.  A document's margin is t
 worst window, so training follows the worst window too (for clean documents a random one
 besides).  The margin that best parts documents set aside (by F1) becomes the score 0.5.
 
-Fitted on at most SAMPLE labelled documents, of each at most TRAIN_WINDOWS windows (spread
-over the text); every document is scored whole.
+Fitted on at most SAMPLE labelled documents, all windows of each; every document is scored
+whole.
 
 Defined results: null and empty texts are one empty window; without labels of both kinds every
 score is the share of label 1 among them (0 if there are none); null labels are not learned from;
@@ -30,7 +30,9 @@ from pyspark.sql import types as T
 from . import common, labelled
 
 WORDS, TRIPLES, WIDTH, HIDDEN, HEADS = 1 << 14, 1 << 15, 8, 8, range(3, 9)
-WINDOW, STRIDE, SAMPLE, TRAIN_WINDOWS, EPOCHS, THRESHOLD = 32, 16, 6000, 48, 5, 0.5
+WINDOW, STRIDE, SAMPLE, EPOCHS, THRESHOLD = 32, 16, 6000, 5, 0.5
+#: Windows whose margins training makes at once.
+AT_ONCE = 1 << 14
 SIGNS = ".,;:!?\"'()[]{}<>|*#$%&/\\-_=+~^`@"
 
 
@@ -221,9 +223,12 @@ def train(texts: list[str | None], y: np.ndarray, seed: int = 17) -> Net:
     step, learn = 0, np.flatnonzero(~aside)
     for _ in range(EPOCHS):
         for part in np.array_split(r.permutation(learn), max(1, len(learn) // 64)):
-            rows = [np.arange(first[k], first[k + 1]) if first[k + 1] - first[k] <= TRAIN_WINDOWS else np.linspace(first[k], first[k + 1] - 1, TRAIN_WINDOWS).astype(int) for k in part]
-            own, t = narrowed(table[np.concatenate(rows)])
-            m = net.margins(net.vectors(own), t)
+            rows = [np.arange(first[k], first[k + 1]) for k in part]
+            every_row, m = np.concatenate(rows), []
+            for at in range(0, len(every_row), AT_ONCE):
+                own, t = narrowed(table[every_row[at : at + AT_ONCE]])
+                m.append(net.margins(net.vectors(own), t))
+            m = np.concatenate(m)
             picked, target = [], []
             at = 0
             for k, w in zip(part.tolist(), rows):

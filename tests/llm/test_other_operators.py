@@ -165,3 +165,18 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(0), SMALL).count() == 0, name
     got = corpus_pipeline.run(spark, SMALL)
     assert got.count() > 100 and got.where("decoded <> text").count() == 0
+
+
+def test_toxicity_learns_from_any_window_of_a_long_text():
+    """One bad word in a text of thousands, wherever it stands."""
+    r = np.random.default_rng(21)
+    texts, y = [], []
+    for k in range(240):
+        words = [f"w{x}" for x in r.integers(0, 300, 2000)]
+        if k % 2:
+            words[int(r.integers(2000))] = "grobnik"
+        texts.append(" ".join(words))
+        y.append(k % 2)
+    net = toxicity.train(texts[:200], np.array(y[:200]))
+    got = net.scores(texts[200:])
+    assert ((got >= 0.5) == np.array(y[200:])).mean() >= 0.9
