@@ -375,111 +375,178 @@ def prefixes(docs: DataFrame, words: int, ratio: Fraction) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, node long, n int, place int")
 
 
-def met(rows: DataFrame, ratio: Fraction) -> DataFrame:
-    """(a, b) pairs of rows (structs of node, n, place), a of the smaller node, that share a key and may be similar."""
-    side = lambda x: rows.select("key", F.struct("node", "n", "place").alias(x))
-    return side("a").join(side("b"), "key").where("a.node < b.node").where(may_be(ratio)).select("a", "b")
+def by_size(x: np.ndarray, y: np.ndarray, t: dict, ratio: Fraction) -> np.ndarray:
+    """Whether the sets of rows x and y can be similar: they share no more than what is left of each from the first common shingle on.
 
+    t holds columns: node, n, left, and bits and start (the parities, packed).
+    """
+    return np.minimum(t["left"][x], t["left"][y]) * (ratio.numerator + ratio.denominator) >= (t["n"][x] + t["n"][y]) * ratio.numerator
 
-def crowd_pairs(rows: DataFrame, ratio: Fraction) -> DataFrame:
-    """(a, b) nodes, a the smaller, that share a key, have different labels and whose sets may be similar by size, place and parities.
 
-    Rows are key, node, n, place, label, bits, and crowd, the number of rows of the key.  Rows of a
-    key meet in one task, where blocks of them are compared; only near pairs leave it.  Keys of more
-    than BLOCK rows are dealt out as pairs of blocks.
+def by_parities(x: np.ndarray, y: np.ndarray, t: dict, ratio: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (x, y) whose sets can be similar by their parities, and in how many bits those differ."""
+    bits = apart(t["bits"], t["start"], t["bits"], t["start"], x, y)
+    near = bits * (ratio.numerator + ratio.denominator) <= (ratio.denominator - ratio.numerator) * (t["n"][x] + t["n"][y])
+    return x[near], y[near], bits[near]
+
+
+def compared(one: np.ndarray, two: np.ndarray, alone: bool, t: dict, ratio: Fraction, wanted):
+    """Pairs of a row of one and a row of two as by_parities gives them, of 256 rows of one at a time.
+
+    alone: one and two are the same rows.  wanted(x, y) tells the pairs that need a look.
     """
-    f = F.ceil(F.col("crowd") / BLOCK).cast("int")
-    dealt = rows.withColumn("own", F.pmod(F.hash("node"), f)).withColumn("other", F.explode(F.sequence(F.lit(0), f - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "n", "place", "label", "bits")
-    up, down = ratio.numerator, ratio.denominator
+    for p in (one[at : at + 256, None] for at in range(0, len(one), 256)):
+        ok = by_size(p, two, t, ratio) & wanted(p, two)
+        if alone:
+            ok &= t["node"][p] < t["node"][two]
+        x, y = np.nonzero(ok)
+        yield by_parities(p[x, 0], two[y], t, ratio)
+
+
+def merged(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """root, a label for each row, after the labels of the rows of each pair (x, y) are made one, the least."""
+    while (u := root[x]).size and (differ := u != (v := root[y])).any():
+        names, place = np.unique(root, return_inverse=True)
+        least = names.copy()
+        np.minimum.at(least, np.searchsorted(names, np.maximum(u, v)[differ]), np.minimum(u, v)[differ])
+        root = least[place]
+    return root
+
+
+def dealt(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """rows with i, j and second: those of a key in pairs of blocks, of which a task sees both."""
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.hash("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("second", F.col("own") > F.col("other")).drop("blocks", "own", "other")
+    return rows.repartition(common.partitions(rows.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def groups_of(t: pa.Table, key: str, least: int = 1):
+    """(one, two, alone) row numbers of each pair of blocks, of so many rows at least, in a table from dealt()."""
+    k = np.stack([t.column(c).to_numpy() for c in (key, "i", "j")], axis=1)
+    second = t.column("second").to_numpy()
+    cut = np.concatenate([[0], np.flatnonzero(np.any(k[1:] != k[:-1], axis=1)) + 1, [len(k)]])
+    big = np.flatnonzero(np.diff(cut) >= least)
+    for a, b in zip(cut[big].tolist(), cut[big + 1].tolist()):
+        one, alone = np.flatnonzero(~second[a:b]) + a, bool(k[a, 1] == k[a, 2])
+        yield one, one if alone else np.flatnonzero(second[a:b]) + a, alone
+
+
+def crowd_columns(b: pa.Table) -> dict:
+    t = {c: b.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "place", "label")}
+    t["bits"], t["start"] = common.packed(b.column("bits"))
+    return t | {"left": t["n"] - t["place"]}
+
+
+def crowd_rows(rows: DataFrame) -> DataFrame:
+    return dealt(rows, "key", F.ceil(F.col("crowd") / BLOCK)).select("key", "i", "j", "second", "node", "n", "place", "label", "bits")
+
+
+def crowd_pairs(rows: DataFrame, ratio: Fraction) -> DataFrame:
+    """(a, b) nodes, a the smaller, that meetings() finds near: all pairs, for tests; their number grows with the square of a key's rows."""
 
     def run(batches):
-        for t in common.whole_groups(batches, "key", "i", "j"):
-            key = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            node, n, place, label = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "place", "label"))
-            second = t.column("second").to_numpy()
-            bits, start = common.packed(t.column("bits"))
-            cut = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
-                one, alone = np.flatnonzero(~second[a:b]) + a, key[a, 1] == key[a, 2]
-                two = one if alone else np.flatnonzero(second[a:b]) + a
-                for p in (one[at : at + 256, None] for at in range(0, len(one), 256)):
-                    ok = label[p] != label[two]
-                    ok &= np.minimum(n[p] - place[p], n[two] - place[two]) * (up + down) >= (n[p] + n[two]) * up
-                    if alone:
-                        ok &= node[p] < node[two]
-                    x, y = np.nonzero(ok)
-                    x, y = p[x, 0], two[y]
-                    near = apart(bits, start, bits, start, x, y) * (up + down) <= (down - up) * (n[x] + n[y])
-                    if near.any():
-                        x, y = node[x[near]], node[y[near]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        for b in common.whole_groups(batches, "key", "i", "j"):
+            t = crowd_columns(b)
+            for one, two, alone in groups_of(b, "key"):
+                for x, y, _ in compared(one, two, alone, t, ratio, lambda p, q: t["label"][p] != t["label"][q]):  # noqa: B023
+                    x, y = t["node"][x], t["node"][y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    return dealt.repartition(common.partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    return crowd_rows(rows).mapInArrow(run, "a long, b long")
 
 
-def may_be(ratio: Fraction) -> Column:
-    """Whether sets a and b (n, place) can be similar if their first common shingle stands at those places: they share no more than what is left of each."""
-    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    return left * (ratio.numerator + ratio.denominator) >= (F.col("a.n") + F.col("b.n")) * ratio.numerator
+def meetings(rows: DataFrame, ratio: Fraction) -> DataFrame:
+    """(node, label, root): nodes that share a key with a node of another label and may be similar to it by size, place and parities.
 
+    Edges from label to root connect the labels of all such nodes.  Rows are key, node, n, place,
+    label, bits, and crowd, the number of rows of the key.  Rows of a key meet in one task, those of
+    more than BLOCK rows as pairs of blocks; no more rows leave a task than come in.
+    """
 
-def similar_links(docs: DataFrame, prints: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b) edges that connect all nodes whose sets are similar; prints is described(docs).
+    def run(batches):
+        for b in common.whole_groups(batches, "key", "i", "j"):
+            t = crowd_columns(b)
+            label = root = t["label"]
+            near = np.zeros(len(label), bool)
+            # Keys of few rows: rows at each distance, of all keys at once.
+            k = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            group = np.cumsum(np.concatenate([[False], np.any(k[1:] != k[:-1], axis=1)]))
+            few = np.flatnonzero(np.bincount(group)[group] <= ALL_PAIRS)
+            for step in range(1, ALL_PAIRS):
+                x = few[few + step < len(group)]
+                x = x[(group[x] == group[x + step]) & (label[x] != label[x + step])]
+                x = x[by_size(x, x + step, t, ratio)]
+                x, y, _ = by_parities(x, x + step, t, ratio)
+                near[x] = near[y] = True
+                root = merged(root, x, y)
+            # Of a crowded key, rows known to be near something, and under one root, need no further look.
+            for one, two, alone in groups_of(b, "key", ALL_PAIRS + 1):
+                for x, y, _ in compared(one, two, alone, t, ratio, lambda p, q: (label[p] != label[q]) & ~(near[p] & near[q] & (root[p] == root[q]))):  # noqa: B023
+                    near[x] = near[y] = True
+                    root = merged(root, x, y)
+            node, place = np.unique(t["node"][near], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label[near][place]), pa.array(root[near][place])], ["node", "label", "root"])
+
+    return crowd_rows(rows).mapInArrow(run, "node long, label long, root long")
+
+
+def similar_edges(rows: DataFrame, ratio: Fraction) -> DataFrame:
+    """(a, b) edges that connect the similar sets of each group: rows are group, node and shingles.
 
     A pair is decided by its two sets: what they share is counted, not estimated.  Pairs whose
     parities already differ in more bits than similar sets can differ in shingles go before that.
-    Keys are the shingles of prefixes.  A key of up to ALL_PAIRS nodes compares them all.  In a larger
-    one each is first compared with the smallest, which makes one component of most copies of a
-    text; then all of its pairs that are not in one component yet are compared.
+    Only the edges of a spanning forest leave a task.
+    """
+    up, down = ratio.numerator, ratio.denominator
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("shingles")).alias("n_bytes"))
+    blocks = F.ceil(F.greatest(F.col("n_rows") / (4 * BLOCK), F.col("n_bytes") / (8 * common.SLICE_BYTES), F.lit(1)))
+
+    def run(batches):
+        for t in common.whole_groups(batches, "group", "i", "j"):
+            data, start = common.packed(t.column("shingles"))
+            data, start = data.copy().view(np.int64), start // 8
+            sets_ = [data[a:b] for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
+            n = np.diff(start)
+            c = {"node": t.column("node").to_numpy(), "n": n, "left": n}
+            c["bits"], c["start"] = common.packed(common.binaries([parities(x) for x in sets_]))
+            root, edges = np.arange(len(n)), []
+            for one, two, alone in groups_of(t, "group"):
+                for x, y, bits in compared(one, two, alone, c, ratio, lambda p, q: root[p] != root[q]):  # noqa: B023
+                    for k in np.argsort(bits, kind="stable").tolist():  # the nearest first: later ones are often linked by then
+                        u, v = x[k], y[k]
+                        if root[u] != root[v]:
+                            both = len(np.intersect1d(sets_[u], sets_[v], assume_unique=True))
+                            if both * (up + down) >= up * (n[u] + n[v]):
+                                root[root == root[v]] = root[u]
+                                edges.append((c["node"][u], c["node"][v]))
+            yield pa.RecordBatch.from_arrays([pa.array([min(e) for e in edges], pa.int64()), pa.array([max(e) for e in edges], pa.int64())], ["a", "b"])
+
+    return dealt(rows.join(sizes, "group"), "group", blocks).select("group", "i", "j", "second", "node", "shingles").mapInArrow(run, "a long, b long")
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b) edges that connect all nodes whose sets are similar; prints is described(docs).
+
+    Keys are the shingles of prefixes.  Nodes that share one and may be similar by size, place and
+    parities come into one group; then the sets of each group are compared.
     """
     ratio = Fraction(least).limit_denominator(1000)
     w = Window.partitionBy("key")
     rows = prefixes(docs, words, ratio).repartition(common.partitions(prints.sparkSession), "key").distinct()
-    shared = rows.withColumn("crowd", F.count("*").over(w)).withColumn("least", F.min(F.struct("node", "n", "place")).over(w)).where("crowd > 1")
-    shared = common.written(shared, "prefixes")
-
-    marks = common.written(prints.select("node", "n", "bits").dropDuplicates(["node"]), "marks")
-    mark = lambda x: marks.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-
-    def near(batches):
-        for t in batches:
-            n = t.column("n_a").to_numpy().astype(np.int64) + t.column("n_b").to_numpy()
-            bits = differing(t.column("bits_a"), t.column("bits_b"))
-            ok = pa.array(bits * (ratio.numerator + ratio.denominator) <= (ratio.denominator - ratio.numerator) * n)
-            yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok)], ["a", "b"])
-
-    def verify(batches):
-        for t in batches:
-            (x, i), (y, j) = (common.packed(t.column(c)) for c in ("set_a", "set_b"))
-            x, y, i, j = x.copy().view(np.int64), y.copy().view(np.int64), i // 8, j // 8
-            both = np.array([len(np.intersect1d(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], assume_unique=True)) for k in range(t.num_rows)], np.int64)
-            ok = pa.array(both * (ratio.numerator + ratio.denominator) >= ratio.numerator * (np.diff(i) + np.diff(j)))
-            yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok)], ["a", "b"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = common.written(pairs.distinct(), "pairs")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        # Sets are many times the size of what stands for them: only those of the pairs are made again, from one text each.
-        ids = prints.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
-        ids = common.written(ids.select("id").distinct(), "ids")
-        own = common.written(sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi"), words).select("node", "shingles").dropDuplicates(["node"]), "sets")
-        end = lambda x: own.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
-        done = common.written(pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(verify, "a long, b long"), "similar")
-        for x in (pairs, ids, own):
-            common.dropped(x)
-        return done
-
-    few, crowded = shared.where(f"crowd <= {ALL_PAIRS}"), shared.where(f"crowd > {ALL_PAIRS}")
-    first = crowded.where("node > least.node").select(F.col("least").alias("a"), F.struct("node", "n", "place").alias("b")).where(may_be(ratio))
-    pairs = met(few, ratio).union(first).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    edges = verified(pairs.join(mark("a"), "a").join(mark("b"), "b").mapInArrow(near, "a long, b long"))
-    if crowded.isEmpty():
-        return edges
-    named = crowded.join(components(edges), "node", "left").select("key", "node", "n", "place", "crowd", F.coalesce("component", "node").alias("label"))
-    named = named.withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w)).where("low < high")
-    # Here pairs may be many more than rows: they are made and judged by their parities in one task, and only the near ones leave it.
-    return edges.union(verified(crowd_pairs(named.join(marks.select("node", "bits"), "node"), ratio)))
+    rows = common.written(rows.withColumn("crowd", F.count("*").over(w)).where("crowd > 1").withColumn("label", F.col("node")), "prefixes")
+    marks = common.written(prints.select("node", "bits").dropDuplicates(["node"]), "marks")
+    met = common.written(meetings(rows.join(marks, "node"), ratio).distinct(), "met")
+    groups = components(met.select(F.col("label").alias("a"), F.col("root").alias("b")))
+    groups = groups.select(F.col("node").alias("label"), "component")
+    members = common.written(met.join(groups, "label", "left").select("node", F.coalesce("component", "label").alias("group")).distinct(), "members")
+    # Sets are many times the size of what stands for them: only those of members are made again, from one text each.
+    ids = common.written(prints.join(members, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct(), "ids")
+    own = sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi"), words).select("node", "shingles").dropDuplicates(["node"])
+    held = common.written(own.join(members, "node"), "sets")
+    edges = common.written(similar_edges(held, ratio), "similar")
+    for x in (rows, marks, met, members, ids, held):
+        common.dropped(x)
+    return edges
 
 
 def grouped(docs: DataFrame, words: int, least: float) -> DataFrame:

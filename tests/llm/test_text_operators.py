@@ -317,3 +317,21 @@ def test_parities_of_wide_sets_are_a_bound():
     a, b = simhash.parities(one), simhash.parities(np.unique(two))
     assert len(a) * 8 == len(b) * 8 == simhash.WIDEST
     assert 1000 < simhash.differing(pa.array([a], pa.binary()), pa.array([b], pa.binary()))[0] <= 3003
+
+
+def test_crowded_keys_leave_no_more_rows_than_come(spark, monkeypatch):
+    """Two families of 150 sets, all near in each: rows that leave the tasks, and what their roots connect."""
+    r = np.random.default_rng(14)
+    base, rows = [r.integers(0, 1 << 60, 200) for _ in range(2)], []
+    for k in range(300):
+        own = np.unique(np.concatenate([base[k % 2], r.integers(0, 1 << 60, 3)]))
+        rows += [(key, k, len(own), 0, k, 300, bytearray(simhash.parities(own))) for key in (5, 6)]
+    rows += [(100 + k // 2, 1000 + k, 50, 0, 1000 + k, 2, bytearray(simhash.parities(r.integers(0, 1 << 60, 50)))) for k in range(10)]
+    df = spark.createDataFrame(rows, "key long, node long, n int, place int, label long, crowd long, bits binary")
+    for block in (simhash.BLOCK, 64):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = simhash.meetings(df, Fraction(4, 5)).collect()
+        assert len(got) <= 600 * -(-300 // block)
+        assert {x["node"] for x in got} == set(range(300)) and all(x["label"] == x["node"] for x in got)
+        edges = spark.createDataFrame([(x["label"], x["root"]) for x in got], "a long, b long")
+        assert {(x["node"], x["component"]) for x in simhash.components(edges).collect()} == {(k, k % 2) for k in range(2, 300)}
