@@ -15,9 +15,10 @@ Equal fingerprints are one node from the start, so that copies never meet as pai
 a key, members are compared in blocks with a union-find, and only the edges of a spanning
 forest leave the task.  Keys with more than BLOCK members are dealt out as pairs of blocks.
 
-Similarity of shingle sets (similar_groups) asks for more than three bits: there the sets
-themselves are joined.  In one order of all shingles, the frequent ones last, two similar sets
-share one of the first few of each (a prefix), and sets that do are compared.
+Similarity of shingle sets (similar_groups) goes by the same links between fingerprints, of the
+sets, and then compares the sets that these bring together.  As similar sets may be more than
+three bits apart, an exact way for the rest joins groups of links: in one order of all shingles,
+the frequent ones last, two similar sets share one of the first few of each (a prefix).
 
 Defined results: null and empty texts have no shingles and the fingerprint zero, linked like
 any other; fewer words than a shingle make one shingle; a text whose doc_id is null links
@@ -52,18 +53,24 @@ BLOCK = 2048
 @functools.cache
 def golay_index() -> np.ndarray:
     """The index (12 data bits) of the nearest codeword of every 23-bit word."""
-    words = np.arange(1 << 23, dtype=np.uint32)
-    rest = words.copy()
-    for k in range(22, 10, -1):
-        rest = np.where(rest >> k & 1, rest ^ np.uint32(GENERATOR << (k - 11)), rest)
     error = np.zeros(1 << 11, np.uint32)
+
+    def syndrome(rest: np.ndarray) -> np.ndarray:
+        for k in range(22, 10, -1):
+            rest = np.where(rest >> k & 1, rest ^ np.uint32(GENERATOR << (k - 11)), rest)
+        return rest
+
     bits = [1 << i for i in range(23)]
     patterns = [0, *bits]
     patterns += [a | b for i, a in enumerate(bits) for b in bits[i + 1 :]]
     patterns += [a | b | c for i, a in enumerate(bits) for j, b in enumerate(bits[i + 1 :], i + 1) for c in bits[j + 1 :]]
     patterns = np.array(patterns, np.uint32)
-    error[rest[patterns]] = patterns
-    return ((words ^ error[rest]) >> 11).astype(np.int16)
+    error[syndrome(patterns)] = patterns
+    index = np.empty(1 << 23, np.int16)
+    for at in range(0, 1 << 23, 1 << 18):  # a whole column of words would take a worker 200 MB
+        words = np.arange(at, at + (1 << 18), dtype=np.uint32)
+        index[at : at + (1 << 18)] = (words ^ error[syndrome(words)]) >> 11
+    return index
 
 
 def near_indices(x: np.ndarray) -> np.ndarray:
@@ -205,7 +212,9 @@ def links(nodes: DataFrame, most: int = 3) -> DataFrame:
             yield group(joined())
 
     n = common.partitions(nodes.sparkSession)
-    return small.unionByName(large).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    found = small.unionByName(large).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    found._scratch = rows._scratch  # for common.dropped, once the links are written
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -272,6 +281,14 @@ def set_name(found: np.ndarray, seed: int = 42) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def majority(found: np.ndarray) -> int:
+    """The fingerprint of a set of shingles, signed: a bit is set if it is in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 15):
+        ones += np.unpackbits(found[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(found), bitorder="little").view("<i8")[0])
+
+
 def parities(found: np.ndarray) -> bytes:
     """One bit for each bin of shingles: whether it holds an odd number.  Bins are a power of two, no fewer than the shingles up to WIDEST."""
     width = min(WIDEST, 1 << max(6, (len(found) - 1).bit_length()))
@@ -308,16 +325,17 @@ def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node (the name of the text's set of shingles), the set's size n and its parities."""
+    """doc_id, node (the name of the text's set of shingles), the set's size n, its fingerprint and its parities."""
 
     def run(batches):
         for whole in batches:
             for b in common.slices(whole):
                 got = [shingles(x, words) for x in common.utf8(b.column("text"))]
                 node, n = pa.array([set_name(x) for x in got], pa.int64()), pa.array([len(x) for x in got], pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), node, n, common.binaries([parities(x) for x in got])], ["doc_id", "node", "n", "bits"])
+                fp = pa.array([majority(x) for x in got], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), node, n, fp, common.binaries([parities(x) for x in got])], ["doc_id", "node", "n", "fp", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, fp long, bits binary")
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
@@ -524,27 +542,46 @@ def similar_edges(rows: DataFrame, ratio: Fraction) -> DataFrame:
     return dealt(rows.join(sizes, "group"), "group", blocks).select("group", "i", "j", "second", "node", "shingles").mapInArrow(run, "a long, b long")
 
 
+def fingerprint_groups(prints: DataFrame, most: int = 3) -> DataFrame:
+    """(fp, label): the fingerprints that links within most bits connect, by the Golay indices, and the least of them."""
+    spark = prints.sparkSession
+    fps = common.written(prints.select("fp").distinct(), "simhash-nodes")
+    nodes = fps.repartition(common.partitions(spark)).select(F.col("fp").alias("node"), "fp")
+    found = links(nodes, most)
+    edges = common.written(found, "simhash-links")
+    common.dropped(found)
+    groups = components(edges)
+    out = common.written(fps.join(groups, fps["fp"] == groups["node"], "left").select("fp", F.coalesce("component", "fp").alias("label")), "simhash-groups")
+    for x in (fps, edges):
+        common.dropped(x)
+    return out
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, words: int, least: float) -> DataFrame:
     """(a, b) edges that connect all nodes whose sets are similar; prints is described(docs).
 
-    Keys are the shingles of prefixes.  Nodes that share one and may be similar by size, place and
-    parities come into one group; then the sets of each group are compared.
+    Candidates are the groups that links between fingerprints make (fingerprint_groups).  Similar
+    sets whose fingerprints lie farther apart than any chain of links come to these by shingles of
+    their prefixes: nodes of two groups that share one and may be similar by size, place and parities
+    make one group of both.  The sets of each group are then compared, which decides every link.
     """
     ratio = Fraction(least).limit_denominator(1000)
+    labels = fingerprint_groups(prints)
+    marks = common.written(prints.select("node", "fp", "bits").dropDuplicates(["node"]).join(labels, "fp").select("node", "label", "bits"), "marks")
     w = Window.partitionBy("key")
     rows = prefixes(docs, words, ratio).repartition(common.partitions(prints.sparkSession), "key").distinct()
-    rows = common.written(rows.withColumn("crowd", F.count("*").over(w)).where("crowd > 1").withColumn("label", F.col("node")), "prefixes")
-    marks = common.written(prints.select("node", "bits").dropDuplicates(["node"]), "marks")
-    met = common.written(meetings(rows.join(marks, "node"), ratio).distinct(), "met")
-    groups = components(met.select(F.col("label").alias("a"), F.col("root").alias("b")))
-    groups = groups.select(F.col("node").alias("label"), "component")
-    members = common.written(met.join(groups, "label", "left").select("node", F.coalesce("component", "label").alias("group")).distinct(), "members")
+    rows = common.written(rows.withColumn("crowd", F.count("*").over(w)).where("crowd > 1"), "prefixes")
+    met = common.written(meetings(rows.join(marks, "node"), ratio).select("label", "root").distinct(), "met")
+    groups = components(met.select(F.col("label").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("label"), "component")
+    members = marks.join(groups, "label", "left").select("node", F.coalesce("component", "label").alias("group"))
+    several = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    members = common.written(members.join(several, "group", "left_semi"), "members")
     # Sets are many times the size of what stands for them: only those of members are made again, from one text each.
     ids = common.written(prints.join(members, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct(), "ids")
     own = sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi"), words).select("node", "shingles").dropDuplicates(["node"])
     held = common.written(own.join(members, "node"), "sets")
     edges = common.written(similar_edges(held, ratio), "similar")
-    for x in (rows, marks, met, members, ids, held):
+    for x in (labels, rows, marks, met, members, ids, held):
         common.dropped(x)
     return edges
 

@@ -142,3 +142,26 @@ def test_short_texts_are_decided_exactly(spark, n, extra, kept):
     rows = [(k, " ".join(["w"] + [f"t{k // 2}w{j}" for j in range(10)] + [f"last{k}"])) for k in range(40)]
     assert jaccard(rows[0][1], rows[1][1]) == 7 / 9  # eight shingles, seven in common
     assert simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).count() == 40
+
+
+def test_links_of_fingerprints_bring_sets_together(spark, monkeypatch):
+    """Close copies are found by the links between fingerprints alone, and far texts under one fingerprint are not linked."""
+    r = np.random.default_rng(15)
+    rows = []
+    for k in range(30):
+        body = [f"w{x}" for x in r.integers(0, 1 << 40, 600)]
+        rows += [(2 * k, " ".join(body)), (2 * k + 1, " ".join([*body[:-1], "changed"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = lambda: {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(df).collect()}
+    want = {i: i // 2 * 2 for i, _ in rows}
+    assert groups() == want
+    with monkeypatch.context() as m:
+        whole = simhash.prefixes
+        m.setattr(simhash, "prefixes", lambda *a: whole(*a).where("false"))
+        assert groups() == want
+    apart = [(x.bit_count(), i) for i, (a, b) in enumerate(zip(rows[::2], rows[1::2])) for x in [(simhash.majority(simhash.shingles(a[1].encode(), 5)) ^ simhash.majority(simhash.shingles(b[1].encode(), 5))) & (1 << 64) - 1]]
+    assert max(apart)[0] <= 3
+    keep = spark.createDataFrame([(i, k, 7) for i, k in ((1, 10), (2, 11), (3, 12))], "doc_id long, node long, fp long")
+    assert {x["label"] for x in simhash.fingerprint_groups(keep).collect()} == {7}
+    sets = spark.createDataFrame([(7, k, bytearray(np.arange(k * 100, k * 100 + 50).tobytes())) for k in range(3)] + [(7, 9, bytearray(np.arange(5, 50).tobytes()))], "group long, node long, shingles binary")
+    assert {tuple(x) for x in simhash.similar_edges(sets, simhash.Fraction(4, 5)).collect()} == {(0, 9)}
