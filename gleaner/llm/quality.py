@@ -65,14 +65,19 @@ def train(rows: DataFrame) -> tuple[np.ndarray, float]:
                     val.append((n * (SCALE / max(1, e - a))).astype(np.float32))
                 yield pa.RecordBatch.from_arrays([b.column("picked"), b.column("y"), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["picked", "y", "i", "x"])
 
-    got = rows.mapInArrow(run, "picked long, y int, i array<int>, x array<float>").toArrow().sort_by("picked")
+    got = rows.mapInArrow(run, "picked long, y int, i array<int>, x array<float>").toArrow()
     y = got.column("y").to_numpy()
     size = 1 << BITS
     w = np.zeros(size)
     if len(set(y.tolist())) < 2:
         p = float(y.mean()) if len(y) else 1.0
         return w, 30.0 if p == 1 else -30.0
-    rows_ = [(i.values.to_numpy(), x.values.to_numpy().astype(np.float64)) for i, x in zip(got.column("i"), got.column("x"))]
+    # Rows stay where Arrow has them, in order of picked: a copy of each would stay in the driver's memory.
+    by = np.argsort(got.column("picked").to_numpy(), kind="stable")
+    y = y[by]
+    chunk = np.repeat(np.arange(got.column("i").num_chunks), [len(c) for c in got.column("i").chunks])[by]
+    start, end = (np.concatenate([c.offsets.to_numpy()[k : len(c) + k] for c in got.column("i").chunks])[by] for k in (0, 1))
+    places, values = ([c.values.to_numpy() for c in got.column(name).chunks] for name in "ix")
     share = y.mean()
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))  # both labels count alike
     z, n = np.zeros(size), np.zeros(size)
@@ -80,7 +85,8 @@ def train(rows: DataFrame) -> tuple[np.ndarray, float]:
     order = np.random.default_rng(5)
     for _ in range(EPOCHS):
         for k in order.permutation(len(y)).tolist():
-            i, x = rows_[k]
+            at = slice(start[k], end[k])
+            i, x = places[chunk[k]][at], values[chunk[k]][at].astype(np.float64)
             own = np.where(np.abs(z[i]) <= L1, 0.0, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
             p = 1 / (1 + np.exp(-np.clip(own @ x + bias, -35, 35)))
             g = (p - y[k]) * weight[k]
@@ -92,6 +98,8 @@ def train(rows: DataFrame) -> tuple[np.ndarray, float]:
             bias_z += g - s * bias
             bias_n += g * g
             bias = -bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA)
+    del got, places, values, i, x
+    common.freed(rows.sparkSession)
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)), bias
 
 

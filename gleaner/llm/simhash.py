@@ -48,6 +48,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
 HALF = 11
 BLOCK = 2048
+#: Edges that one task joins; more go through rounds, which cost the driver some ten jobs and plans each.
+LOCAL = 1 << 16
 
 
 @functools.cache
@@ -217,24 +219,50 @@ def links(nodes: DataFrame, most: int = 3) -> DataFrame:
     return found
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """(node, component) by a union-find over all edges (u, v) in one task, for up to LOCAL of them."""
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.setdefault(x, x)) != x:
+                root[x] = root[y]
+                x = y
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+                u, v = find(x), find(y)
+                root[max(u, v)] = min(u, v)
+        for x in sorted(root):  # a root is less than what hangs on it
+            root[x] = root[root[x]]
+        node = np.fromiter(root, np.int64, len(root))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.fromiter(root.values(), np.int64, len(root)))], ["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for nodes with edges.
 
-    Rounds of large-star and small-star, each written to the shared folder, until nothing changes.
+    Up to LOCAL edges are joined in one task.  More go through rounds of large-star and small-star,
+    each written to the shared folder, until every node has one edge, to a node without any below it.
     """
     edges = common.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
-    while True:
+    while edges.count() > LOCAL:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         star = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         j = star.join(low, "u")
         fresh = common.written(j.select(F.col("v").alias("u"), F.col("m").alias("v")).union(j.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        same = fresh.count() == edges.count() and fresh.exceptAll(edges).isEmpty()
         common.dropped(edges)
         edges = fresh
-        if same:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1 and down > 0").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+    return forest(edges)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, most: int = 3) -> DataFrame:
@@ -372,6 +400,8 @@ def prefixes(docs: DataFrame, words: int, ratio: Fraction) -> DataFrame:
     counts_, counts = counts, counts.where(F.col("count") >= least if least else F.lit(False)).toArrow().sort_by("key")
     common.dropped(counts_)
     frequent = docs.sparkSession.sparkContext.broadcast((counts.column("key").to_numpy(), counts.column("count").to_numpy()))
+    del counts
+    common.freed(docs.sparkSession)
 
     def run(batches):
         known, count = frequent.value
@@ -554,6 +584,7 @@ def fingerprint_groups(prints: DataFrame, most: int = 3) -> DataFrame:
     out = common.written(fps.join(groups, fps["fp"] == groups["node"], "left").select("fp", F.coalesce("component", "fp").alias("label")), "simhash-groups")
     for x in (fps, edges):
         common.dropped(x)
+    common.freed(spark)
     return out
 
 
@@ -572,6 +603,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int, least: float)
     rows = prefixes(docs, words, ratio).repartition(common.partitions(prints.sparkSession), "key").distinct()
     rows = common.written(rows.withColumn("crowd", F.count("*").over(w)).where("crowd > 1"), "prefixes")
     met = common.written(meetings(rows.join(marks, "node"), ratio).select("label", "root").distinct(), "met")
+    common.freed(prints.sparkSession)
     groups = components(met.select(F.col("label").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("label"), "component")
     members = marks.join(groups, "label", "left").select("node", F.coalesce("component", "label").alias("group"))
     several = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")

@@ -165,3 +165,56 @@ def test_links_of_fingerprints_bring_sets_together(spark, monkeypatch):
     assert {x["label"] for x in simhash.fingerprint_groups(keep).collect()} == {7}
     sets = spark.createDataFrame([(7, k, bytearray(np.arange(k * 100, k * 100 + 50).tobytes())) for k in range(3)] + [(7, 9, bytearray(np.arange(5, 50).tobytes()))], "group long, node long, shingles binary")
     assert {tuple(x) for x in simhash.similar_edges(sets, simhash.Fraction(4, 5)).collect()} == {(0, 9)}
+
+
+def test_few_edges_take_few_jobs(spark, monkeypatch):
+    """Components of a chain, stars and random edges, by rounds and in one task; the latter without the rounds' jobs, whose plans fill the driver."""
+    r = np.random.default_rng(9)
+    edges = [(k, k + 1) for k in range(-20, 20)] + [(100, k) for k in range(101, 130)] + [(k, 300) for k in range(270, 290)]
+    edges += [(5, 5), (1, 0)] + [tuple(x) for x in r.integers(1000, 1200, (150, 2)).tolist()] + [(-(1 << 63), (1 << 63) - 1)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        u, v = sorted((find(a), find(b)))
+        root[v] = u
+    want = {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    sc, jobs = spark.sparkContext, {}
+
+    def held(name):
+        sc.setJobGroup(name, name)
+        rows = simhash.components(df).collect()
+        jobs[name] = len(sc.statusTracker().getJobIdsForGroup(name))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        got = {x["node"]: x["component"] for x in rows}
+        assert len(got) == len(rows) and {x: got.get(x, x) for x in want} == want and set(got) <= set(want)
+
+    held("one task")
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "LOCAL", 0, raising=False)
+        held("rounds")
+    assert jobs["one task"] <= 6
+    assert simhash.components(df.where("a = 5 and b = 5")).count() == 0
+
+
+def test_training_copies_no_rows(spark, docs):
+    """What training brings to the driver is not copied there a second time."""
+    import tracemalloc
+
+    rows = docs.where("length(text) > 0").limit(400).selectExpr("doc_id as picked", "repeat(concat(text, ' ', text, ' ', sha2(text, 256), ' '), 2) as text", "cast(doc_id % 2 as int) as y").localCheckpoint()
+    entries = 0
+    for x in rows.toArrow().column("text").to_pylist():
+        places, _ = quality.features([x])
+        entries += len(np.unique(np.concatenate(places)))
+    peaks = []
+    for part in (rows.limit(4), rows):  # the tables of weights are in both
+        tracemalloc.start()
+        quality.train(part)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert entries > 50_000 and peaks[1] - peaks[0] < 4 * entries
